@@ -112,7 +112,8 @@ def shingles(buf: np.ndarray, offsets: np.ndarray, k: int, lower: bool = True) -
     out = whole[at]
     for d in np.flatnonzero((n > 0) & (n < k)):
         m = int(n[d])
-        out[bounds[d]] = (word[first[d] : first[d] + m] * _STEP[:m]).sum(dtype=np.uint64) + U64(m) * _STEP[62]
+        tail = np.append(word[first[d] : first[d] + m] * _STEP[:m], np.uint64(m * int(_STEP[62]) % (1 << 64)))
+        out[bounds[d]] = tail.sum(dtype=np.uint64)
     return mix(out), bounds
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, neardup, packing, quality_model, quality_rules, tokenfiles
+from . import bpe, fingerprints, neardup, packing, quality_model, quality_rules, tokenfiles, toxicity
 from .scratch import Scratch
 from .tables import table
 
@@ -32,6 +32,10 @@ def op4_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_documents(shards)
 
 
+def op5_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_prefix_bpe, op3_divergence_rules, op4_repair_shards,
-        op6_minhash_fingerprints, op8_best_fit_packing, op10_quality_model,
+        op5_compression_toxicity, op6_minhash_fingerprints, op8_best_fit_packing, op10_quality_model,
     )
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, neardup, packing, quality_model, quality_rules, tokenfiles, toxicity
+from . import bpe, fingerprints, htmltext, neardup, packing, quality_model, quality_rules, suffixdup, tokenfiles, toxicity
 from .scratch import Scratch
 from .tables import table
 
@@ -40,10 +40,18 @@ def op6_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_crf_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), WORD_END, Scratch(spark, "op8"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdup.digest(table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
+
+
 def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,7 +60,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_prefix_bpe, op3_divergence_rules, op4_repair_shards,
-        op5_compression_toxicity, op6_minhash_fingerprints, op8_best_fit_packing, op10_quality_model,
+        op5_compression_toxicity, op6_minhash_fingerprints, op7_crf_extraction, op8_best_fit_packing,
+        op9_suffix_array_dedup, op10_quality_model,
     )
 }
 

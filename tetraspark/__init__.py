@@ -1,0 +1 @@
+"""Unstructured tetrahedral meshes as Spark DataFrames."""

@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 from functools import cache
 
@@ -25,21 +26,25 @@ from pyspark.sql import types as T
 SPACE = "\t-\r \x85\xa0  -     　"
 #: A run of white space and the run after it. Every boundary between such chunks is one of the pattern's.
 CHUNKS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: Distinct chunks that a worker remembers; it starts anew beyond that.
-REMEMBERED = 300_000
+#: Distinct chunks in each half of what a worker remembers.
+REMEMBERED = 400_000
 
 
 class Remembered(dict):
-    """A dict that makes missing values by a function and is emptied at REMEMBERED entries."""
+    """A dict that makes missing values by a function; at `limit` entries they become the older half, and the older half goes."""
 
     def __init__(self, make, limit: int = REMEMBERED):
         super().__init__()
-        self._make, self._limit = make, limit
+        self._make, self._limit, self._older = make, limit, {}
 
     def __missing__(self, key):
+        value = self._older.get(key)
+        if value is None:
+            value = self._make(key)
         if len(self) >= self._limit:
+            self._older = dict(self)
             self.clear()
-        value = self[key] = self._make(key)
+        self[key] = value
         return value
 
 
@@ -60,7 +65,7 @@ class Vocabulary:
                 self.pairs[parts[0], parts[1]] = rank
         #: Tokens that the merges never make, though they have a rank.
         self.unreachable = {r for t, r in ranks.items() if len(t) > 1 and self.left[r] == r}
-        self.follows = Remembered(self._follows, 2_000_000)
+        self.follows = Remembered(self._follows, 500_000)
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -144,7 +149,7 @@ class Codec:
         space = f"[{SPACE}]"
         self.vocabulary = vocabulary
         self.pattern = regex.compile(pattern.replace(r"\s+(?!\S)", rf"{space}+(?![^{SPACE}])").replace(r"[^\s", f"[^{SPACE}").replace(r"\s", space))
-        self._pretokens = Remembered(lambda s: np.array(PrefixTable(vocabulary, s.encode()).ids(), "<u4").tobytes())
+        self._pretokens = Remembered(lambda s: struct.pack(f"<{len(i := PrefixTable(vocabulary, s.encode()).ids())}I", *i))
         self._chunks = Remembered(lambda s: b"".join(map(self._pretokens.__getitem__, self.pattern.findall(s))))
 
     def encode(self, text: str) -> np.ndarray:

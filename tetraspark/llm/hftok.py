@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from functools import cache
 
 import numpy as np
@@ -18,8 +19,8 @@ WORDS = re.compile(f"[^{SPACE}]+")
 #: The two vocabularies' pre-tokens, for ASCII chunks.
 ASCII_BYTE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 ASCII_WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+")
-#: Distinct chunks that a worker remembers; it starts anew beyond that.
-REMEMBERED = 500_000
+#: Distinct chunks, and pre-tokens, in each half of what a worker remembers.
+CHUNKS_REMEMBERED, PRETOKENS_REMEMBERED = 500_000, 300_000
 
 
 class ChunkEncoder:
@@ -30,8 +31,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._ids = Remembered(self._chunk, REMEMBERED)
-        self._pretokens = Remembered(self._encode, REMEMBERED)
+        self._ids = Remembered(self._chunk, CHUNKS_REMEMBERED)
+        self._pretokens = Remembered(self._encode, PRETOKENS_REMEMBERED)
         self._drops_space, self._ascii = drops_space, ASCII_WORD if drops_space else ASCII_BYTE
         self._special = "<|"
 
@@ -41,7 +42,8 @@ class ChunkEncoder:
         return self._encode(chunk)
 
     def _encode(self, chunk: str) -> bytes:
-        return np.array(self._tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self._tokenizer.encode(chunk, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""

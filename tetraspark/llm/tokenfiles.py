@@ -28,55 +28,60 @@ MAGIC = b"RPSHARD1"
 #: A shard is closed once it holds this many ids.
 SHARD_IDS = 1 << 20
 #: Rounds of pair replacement, pairs replaced in a round, and the least count that earns a rule.
-ROUNDS, PAIRS_A_ROUND, LEAST_COUNT = 6, 1024, 8
-_SLOTS = 1 << 18
+ROUNDS, PAIRS_A_ROUND, LEAST_COUNT = 3, 4096, 8
+_SLOTS_LOG = 18
 
 
 def compress(ids: np.ndarray, first: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, each document's first symbol, rule pairs and expansion lengths.
 
     ids: of all documents; first: each document's first id and the end. No pair crosses documents.
+    Symbols take 16 bits where the vocabulary leaves room for the rules, so that pairs take 32.
     """
-    symbols, starts = ids.astype(np.int64), first.astype(np.int64)
+    small = base + ROUNDS * PAIRS_A_ROUND < 1 << 16
+    one, two, bits = (np.uint16, np.uint32, 16) if small else (np.uint32, np.uint64, 32)
+    golden = two(0x9E3779B1 if small else 0x9E3779B97F4A7C15)
+    slot_of = lambda c: (c * golden) >> two(2 * bits - _SLOTS_LOG)
+    across = np.iinfo(two).max
+    symbols, starts = ids.astype(one), first.astype(np.int64)
     rules: list[np.ndarray] = []
     made = 0
     for _ in range(ROUNDS):
         if len(symbols) < 2:
             break
-        code = (symbols[:-1] << 32) | symbols[1:]
-        inner = starts[(starts > 0) & (starts < len(symbols))]
-        code[inner - 1] = -1
+        code = (symbols[:-1].astype(two) << two(bits)) | symbols[1:]
+        code[starts[(starts > 0) & (starts < len(symbols))] - 1] = across
         ordered = np.sort(code)
-        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        count = np.diff(np.concatenate([edge, [len(ordered)]]))
-        good = np.flatnonzero((count >= LEAST_COUNT) & (ordered[edge] >= 0))
+        edge = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
+        edge = np.concatenate([[0], edge])
+        count = np.diff(np.append(edge, len(ordered)))
+        good = np.flatnonzero((count >= LEAST_COUNT) & (ordered[edge] != across))
         if len(good) > PAIRS_A_ROUND:
             good = good[np.argsort(-count[good], kind="stable")[:PAIRS_A_ROUND]]
         if not len(good):
             break
-        pairs = np.sort(ordered[edge[good]])
         # one slot for each pair, by hash; of pairs that share a slot, one waits for the next round
-        slot_of = lambda c: ((c.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
-        table = np.full(_SLOTS, -1, np.int64)
-        slot = slot_of(pairs)
-        table[slot] = np.arange(len(pairs))
-        used = np.unique(table[slot])
-        pairs = pairs[used]
+        pairs = np.sort(ordered[edge[good]])
+        table = np.full(1 << _SLOTS_LOG, -1, np.int16)
+        table[slot_of(pairs)] = np.arange(len(pairs))
+        pairs = pairs[np.unique(table[slot_of(pairs)])]
         table.fill(-1)
         table[slot_of(pairs)] = np.arange(len(pairs))
         which = table[slot_of(code)]
-        hit = (which >= 0) & (pairs[np.maximum(which, 0)] == code)
-        at = np.flatnonzero(hit)
+        at = np.flatnonzero(which >= 0)
+        which = which[at]
+        true = pairs[which] == code[at]
+        at, which = at[true], which[true]
         # of a run of overlapping pairs, every second one
         run = np.concatenate([[True], np.diff(at) != 1])
-        at = at[(at - np.maximum.accumulate(np.where(run, at, 0))) % 2 == 0]
-        symbols = symbols.copy()
-        symbols[at] = base + made + which[at]
+        odd = (at - np.maximum.accumulate(np.where(run, at, 0))) & 1 == 0
+        at, which = at[odd], which[odd]
+        symbols[at] = (which.astype(np.int64) + (base + made)).astype(one)
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
-        starts = np.concatenate([[0], np.cumsum(keep)])[starts]
+        starts -= np.searchsorted(at + 1, starts)
         symbols = symbols[keep]
-        rules.append(np.stack([pairs >> 32, pairs & 0xFFFFFFFF], 1))
+        rules.append(np.stack([pairs >> two(bits), pairs & two((1 << bits) - 1)], 1).astype(np.int64))
         made += len(pairs)
     pair = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     length = np.ones(base + made, np.int64)
@@ -116,21 +121,21 @@ class ShardReader:
         self.pairs, self.lengths = take("<u4", 2 * rules).reshape(-1, 2), take("<u4", rules)
         self.symbols = take(f"<u{width}", symbols)
 
-    def _lengths(self, symbols: np.ndarray) -> np.ndarray:
-        out = np.ones(len(symbols), np.int64)
-        rule = symbols >= self.base
-        out[rule] = self.lengths[symbols[rule].astype(np.int64) - self.base]
-        return out
+        # every symbol's ids, one after another
+        self._size = np.concatenate([np.ones(self.base, np.int64), self.lengths.astype(np.int64)])
+        self._at = np.cumsum(self._size) - self._size
+        self._flat = np.arange(self._size.sum(), dtype="<u4")
+        for k in range(rules):
+            a, at = self._at[self.base + k], 0
+            for s in self.pairs[k]:
+                n = self._size[s]
+                self._flat[a + at : a + at + n] = self._flat[self._at[s] : self._at[s] + n]
+                at += n
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        symbols = symbols.astype(np.int64)
-        while (rule := symbols >= self.base).any():
-            at = np.cumsum(rule + 1) - (rule + 1)
-            out = np.empty(len(symbols) + int(rule.sum()), np.int64)
-            out[at] = symbols
-            out[at[rule]], out[at[rule] + 1] = self.pairs[symbols[rule] - self.base].T
-            symbols = out
-        return symbols.astype("<u4")
+        size = self._size[symbols]
+        before = self._at[symbols] - (np.cumsum(size) - size)
+        return self._flat[np.repeat(before, size) + np.arange(size.sum())]
 
     def document(self, i: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids start to stop of the shard's i-th document; only the symbols that cover them are expanded."""
@@ -139,7 +144,7 @@ class ShardReader:
         start, stop, _ = slice(start, stop).indices(n)
         if start == 0 and stop == n:
             return self._expand(symbols)
-        ends = np.cumsum(self._lengths(symbols))
+        ends = np.cumsum(self._size[symbols])
         a, b = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, stop, side="left") + 1
         before = int(ends[a - 1]) if a else 0
         return self._expand(symbols[a:b])[start - before : max(start, stop) - before]

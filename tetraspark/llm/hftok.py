@@ -1,7 +1,8 @@
-"""Encoding with the tokenizers library, one white-space chunk at a time and remembered.
+"""Encoding with the tokenizers library, each distinct pre-token once.
 
-Both vocabularies split text where white space follows other characters before anything else happens to
-it, so a text's ids are those of its chunks, one after another.
+Both vocabularies' pre-tokens are encoded independently of each other, so a text's ids are those of its
+pre-tokens, one after another. Texts within Latin-1 are split here as the library splits them; of other texts,
+and of those that may hold a special token, the library gets chunks cut where white space follows other characters.
 """
 
 from __future__ import annotations
@@ -13,49 +14,43 @@ from functools import cache
 
 import numpy as np
 
-from .bpe import CHUNKS, SPACE, Remembered
+from .bpe import CHUNKS, LATIN_PRETOKENS, LATIN_SPACE, LETTERS, NUMBERS, Remembered, within_latin1
 
-WORDS = re.compile(f"[^{SPACE}]+")
-#: The two vocabularies' pre-tokens, for ASCII chunks.
-ASCII_BYTE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
-ASCII_WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+")
-#: Distinct chunks, and pre-tokens, in each half of what a worker remembers.
-CHUNKS_REMEMBERED, PRETOKENS_REMEMBERED = 500_000, 300_000
+#: Pre-tokens of the vocabulary that drops white space and case.
+LATIN_WORDS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[{NUMBERS}]|[^{LATIN_SPACE}{LETTERS}{NUMBERS}]+")
+_SPECIAL = "<|"
 
 
 class ChunkEncoder:
-    """drops_space: the vocabulary ignores white space and case, so that ASCII texts are lower-cased beforehand."""
+    """words: the vocabulary drops white space and case."""
 
-    def __init__(self, path: str, drops_space: bool = False):
+    def __init__(self, path: str, words: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._ids = Remembered(self._chunk, CHUNKS_REMEMBERED)
-        self._pretokens = Remembered(self._encode, PRETOKENS_REMEMBERED)
-        self._drops_space, self._ascii = drops_space, ASCII_WORD if drops_space else ASCII_BYTE
-        self._special = "<|"
-
-    def _chunk(self, chunk: str) -> bytes:
-        if chunk.isascii() and self._special not in chunk:
-            return b"".join(map(self._pretokens.__getitem__, self._ascii.findall(chunk.lower() if self._drops_space else chunk)))
-        return self._encode(chunk)
-
-    def _encode(self, chunk: str) -> bytes:
-        ids = self._tokenizer.encode(chunk, add_special_tokens=False).ids
+        self._ids = Remembered(self._encode)
+        self._words = words
+
+    def _encode(self, piece: str) -> bytes:
+        ids = self._tokenizer.encode(piece, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if self._drops_space:
-            return b"".join(map(self._ids.__getitem__, WORDS.findall(text.lower() if text.isascii() else text)))
-        return b"".join(map(self._ids.__getitem__, CHUNKS.findall(text)))
+        if not within_latin1(text) or _SPECIAL in text:
+            pieces = CHUNKS.findall(text)
+        elif self._words:
+            pieces = LATIN_WORDS.findall(text.lower())
+        else:
+            pieces = LATIN_PRETOKENS.findall(text)
+        return b"".join(map(self._ids.__getitem__, pieces))
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode_bytes(text), "<u4")
 
 
 @cache
-def chunk_encoder(path: str, drops_space: bool = False) -> ChunkEncoder:
+def chunk_encoder(path: str, words: bool = False) -> ChunkEncoder:
     """One a worker."""
-    return ChunkEncoder(path, drops_space)
+    return ChunkEncoder(path, words)

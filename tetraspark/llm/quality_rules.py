@@ -79,22 +79,25 @@ def base_failed() -> Column:
 
 
 def references(feats: DataFrame) -> DataFrame:
-    """(lang, class_ref, common_ref) of each language with enough words, and a row with `every` set for all together."""
+    """(lang, every, class_ref, common_ref), shares, of each language with enough words, and a row with `every` set for all together."""
     sizes = {"class_hist": len(_CLASSES) + 2, "common_hist": len(COMMON) + 1}
     sums = [F.sum(F.col(h)[i]).alias(f"{h}{i}") for h, n in sizes.items() for i in range(n)]
     good = feats.filter(~base_failed()).groupBy("lang").agg(F.sum("n_words").alias("words"), *sums)
     rows = good.filter(F.col("words") >= REFERENCE_WORDS).withColumn("every", F.lit(False))
     total = good.agg(F.lit(None).cast("string").alias("lang"), F.sum("words").alias("words"), *[F.sum(s).alias(s) for s in good.columns[2:]], F.lit(True).alias("every"))
     both = rows.unionByName(total)
-    return both.select("lang", "every", *[F.array(*[F.coalesce(F.col(f"{h}{i}"), F.lit(0.0)) for i in range(n)]).alias(r) for (h, n), r in zip(sizes.items(), ("class_ref", "common_ref"), strict=True)])
+    for (h, n), whole in zip(sizes.items(), ("class_ref", "common_ref"), strict=True):
+        values = [F.coalesce(F.col(f"{h}{i}"), F.lit(0.0)) for i in range(n)]
+        both = both.withColumn(f"{h}_sum", sum(values[1:], values[0]))
+        both = both.withColumn(whole, F.array(*[F.when(F.col(f"{h}_sum") > 0, v / F.col(f"{h}_sum")).otherwise(0.0) for v in values]))
+    return both.select("lang", "every", "class_ref", "common_ref")
 
 
-def _distance(hist: str, ref: str) -> Column:
-    """Jensen-Shannon distance, base 2; 0 where either side is empty."""
-    share = lambda c: f"transform({c}, x -> x / aggregate({c}, 0D, (s, y) -> s + y))"
+def _distance(hist: str, size: str, ref: str) -> Column:
+    """Jensen-Shannon distance, base 2, of counts that sum to `size` and of shares; 0 where either is empty."""
     part = lambda x: f"if({x} > 0, {x} * log2(2 * {x} / (p + q)), 0D)"
-    total = lambda c: f"aggregate({c}, 0D, (s, y) -> s + y)"
-    return F.expr(f"if({total(hist)} > 0 and {total(ref)} > 0, sqrt(greatest(0D, aggregate(zip_with({share(hist)}, {share(ref)}, (p, q) -> 0.5D * ({part('p')} + {part('q')})), 0D, (s, y) -> s + y))), 0D)")
+    total = f"aggregate(zip_with(transform({hist}, x -> x / {size}), {ref}, (p, q) -> 0.5D * ({part('p')} + {part('q')})), 0D, (s, y) -> s + y)"
+    return F.expr(f"if({size} > 0 and exists({ref}, x -> x > 0), sqrt(greatest(0D, {total})), 0D)")
 
 
 def judged(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
@@ -112,7 +115,7 @@ def judged(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
     every = refs.filter("every").select(F.col("class_ref").alias("c"), F.col("common_ref").alias("d"), F.lit(True).alias("every"))  # one row
     df = feats.join(own, feats["lang"].eqNullSafe(own["of"]), "left").withColumn("every", F.lit(True)).join(every, "every")
     df = df.withColumn("class_ref", F.coalesce("a", "c")).withColumn("common_ref", F.coalesce("b", "d"))
-    df = df.withColumn("class_distance", _distance("class_hist", "class_ref")).withColumn("common_distance", _distance("common_hist", "common_ref")).withColumn("base_failed", base_failed())
+    df = df.withColumn("class_distance", _distance("class_hist", "word_chars", "class_ref")).withColumn("common_distance", _distance("common_hist", "n_words", "common_ref")).withColumn("base_failed", base_failed())
     bad = ((F.col("n_words") >= CLASS_WORDS) & (F.col("class_distance") > MOST_CLASS_DISTANCE)) | ((F.col("n_words") >= COMMON_WORDS_NEEDED) & (F.col("common_distance") > MOST_COMMON_DISTANCE + COMMON_NOISE / F.sqrt(F.col("n_words"))))
     return df.select("key", "digest", *_BASE, "base_failed", "class_distance", "common_distance", (~F.col("base_failed") & ~bad).alias("kept"))
 

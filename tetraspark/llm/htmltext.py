@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -42,6 +43,7 @@ class Block:
     own: str
     tags: frozenset[str]
     names: frozenset[str]
+    near: frozenset[str]
     link_share: float
 
 
@@ -58,7 +60,8 @@ def blocks(page: str) -> list[Block]:
         text = " ".join(entities.unescape("".join(held)).split())
         if text:
             names = frozenset().union(*[n for _, n in stack])
-            out.append(Block(text, stack[-1][0] if stack else "", frozenset(t for t, _ in stack), names, min(1.0, linked / max(1, len(text)))))
+            near = next((n for _, n in reversed(stack) if n), frozenset())
+            out.append(Block(text, stack[-1][0] if stack else "", frozenset(t for t, _ in stack), names, near, min(1.0, linked / max(1, len(text)))))
         held.clear()
         linked = 0
 
@@ -125,7 +128,8 @@ def describe(found: list[Block]) -> list[list[str]]:
         words = b.text.count(" ") + 1
         inside = bool(b.tags & {"article", "main"})
         f = ["bias", f"own:{b.own}", f"len:{_bin(words, (4, 9, 21, 61))}", f"link:{_bin(b.link_share, (0.01, 0.4, 0.8))}"]
-        f += [f"in:{t}" for t in b.tags] + [f"name:{n}" for n in b.names]
+        f += [f"in:{t}" for t in b.tags] + [f"name:{n}" for n in b.names] + [f"near:{n}" for n in b.near]
+        f.append(f"{b.own}:{len(b.near) > 0}:{_bin(words, (5, 15))}")
         f.append("stop" if b.text[-1:] in ".!?:;…\"')”»" else "nostop")
         f.append("marked:" + ("inside" if inside else "outside") if marked else "unmarked")
         if "©" in b.text or "|" in b.text and words < 20:
@@ -167,19 +171,23 @@ class Field:
         return path[::-1]
 
 
+#: Pages that must have a feature for it to get a weight.
+LEAST_PAGES = 3
+
+
 def fit(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 150, rate: float = 0.1, decay: float = 2e-4) -> Field:
     """Maximum likelihood by forward and backward sums over padded pages, with Adam."""
-    names = sorted({f for features, _ in pages for row in features for f in row})
+    seen_in = Counter(f for features, _ in pages for f in {f for row in features for f in row})
+    names = sorted(f for f, n in seen_in.items() if n >= LEAST_PAGES)
     index = {n: i for i, n in enumerate(names)}
     longest = max(len(labels) for _, labels in pages)
-    x = np.zeros((len(pages), longest, len(names)), np.float32)
     y, there = np.zeros((len(pages), longest), np.int64), np.zeros((len(pages), longest), bool)
-    for p, (features, labels) in enumerate(pages):
+    for p, (_, labels) in enumerate(pages):
         y[p, : len(labels)], there[p, : len(labels)] = labels, True
-        for t, row in enumerate(features):
-            x[p, t, [index[f] for f in row]] = 1
     rows = np.flatnonzero(there)
-    flat = x.reshape(-1, len(names))[rows]
+    flat = np.zeros((len(rows), len(names)), np.float32)
+    for at, row in enumerate(row for features, _ in pages for row in features):
+        flat[at, [index[f] for f in row if f in index]] = 1
     truth = np.eye(2)[y] * there[..., None]
     w = [np.zeros((len(names), 2)), np.zeros((2, 2))]
     m, v = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w]
@@ -271,20 +279,20 @@ def page_maker(seed: int) -> list[tuple[str, int]]:
         add(f"<{(h := pick(['h1', 'h2']))}>{phrase(2, 10)}</{h}>", 1)
     for _ in range(int(rng.integers(1, 14))):
         kind = rng.random()
-        if kind < 0.62:
+        if kind < 0.58:
             add("<p>" + pick(["", "<b>", "<em>"]) + phrase(1 if rng.random() < 0.2 else 5, 80, pick([".", ".", ".", ""])) + pick(["</p>", "</p>", "<br>", ""]), 1)
-        elif kind < 0.72:
+        elif kind < 0.67:
             add(f"<h2>{phrase(1, 7)}</h2>", 1)
-        elif kind < 0.8:
+        elif kind < 0.74:
             add("<ul>")
             for _ in range(int(rng.integers(1, 5))):
                 add(f"<li>{phrase(1, 14, pick(['.', '']))}</li>", 1)
             add("</ul>")
-        elif kind < 0.86:
+        elif kind < 0.79:
             add(f"<blockquote>{phrase(4, 30, '.')}</blockquote>", 1)
-        elif kind < 0.9:
+        elif kind < 0.82:
             add(f"<pre>{phrase(4, 20)}</pre>", 1)
-        elif kind < 0.93:
+        elif kind < 0.85:
             add(f"<table><tr><td>{phrase(1, 5)}</td>", 1)
             add(f"<td>{phrase(1, 5)}</td></tr></table>", 1)
         else:
@@ -310,7 +318,7 @@ def labelled_pages(first: int, n: int) -> Iterator[tuple[str, list[Block], list[
 
 
 #: Pages that the field is trained on.
-TRAINING_PAGES = 700
+TRAINING_PAGES = 1000
 
 
 @cache

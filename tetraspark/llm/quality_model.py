@@ -104,7 +104,7 @@ def _pooled(ids: np.ndarray, first: np.ndarray, rows: np.ndarray) -> np.ndarray:
 def fit(data: pd.DataFrame, seed: int = 11) -> Model:
     """data: (text, label), shuffled. Without both labels every score is the labels' mean, or 0.5 without rows."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    parts = list(_stream(pa.array(data["text"], pa.large_string())))
+    parts = list(_stream(pa.array(data["text"].tolist(), pa.large_string())))
     every = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
     seen, count = np.unique(every, return_counts=True)
     top = np.sort(seen[np.argsort(-count, kind="stable")][: int(min(VOCABULARY, (count >= 3).sum()))])

@@ -27,7 +27,8 @@ LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 #: short text, is allowed COMMON_NOISE / sqrt(words) more.
 MOST_CLASS_DISTANCE, CLASS_WORDS = 0.30, 50
 MOST_COMMON_DISTANCE, COMMON_NOISE, COMMON_WORDS_NEEDED = 0.15, 1.5, 100
-#: A language with fewer words than this in all its documents is held against all languages together.
+#: A language with fewer words than this in all its documents has no reference: its documents' character
+#: classes are held against all languages together, and their common words against nothing.
 REFERENCE_WORDS = 2000
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -103,8 +104,8 @@ def _distance(hist: str, size: str, ref: str) -> Column:
 def judged(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """(key, digest, counts, base_failed, class_distance, common_distance, kept), a row for each row of docs.
 
-    Null and empty texts have no words and fail the base rules. A null or rare language is held against all
-    languages together. Rows are judged one by one, so repeated rows and equal ids have equal verdicts where
+    Null and empty texts have no words and fail the base rules. Of a null or rare language only the classes
+    are held against all languages. Rows are judged one by one, so repeated rows and equal ids have equal verdicts where
     their texts and languages are equal; digest tells rows of equal id apart. An empty table gives no rows.
     """
     feats = features(docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), (F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")).alias("lang")))
@@ -112,9 +113,9 @@ def judged(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
     feats = scratch.save(feats, "features")
     refs = scratch.save(references(feats), "references")
     own = refs.filter("not every").select(F.col("lang").alias("of"), F.col("class_ref").alias("a"), F.col("common_ref").alias("b"))
-    every = refs.filter("every").select(F.col("class_ref").alias("c"), F.col("common_ref").alias("d"), F.lit(True).alias("every"))  # one row
+    every = refs.filter("every").select(F.col("class_ref").alias("c"), F.lit(True).alias("every"))  # one row
     df = feats.join(own, feats["lang"].eqNullSafe(own["of"]), "left").withColumn("every", F.lit(True)).join(every, "every")
-    df = df.withColumn("class_ref", F.coalesce("a", "c")).withColumn("common_ref", F.coalesce("b", "d"))
+    df = df.withColumn("class_ref", F.coalesce("a", "c")).withColumn("common_ref", F.coalesce("b", F.array(F.lit(0.0))))
     df = df.withColumn("class_distance", _distance("class_hist", "word_chars", "class_ref")).withColumn("common_distance", _distance("common_hist", "n_words", "common_ref")).withColumn("base_failed", base_failed())
     bad = ((F.col("n_words") >= CLASS_WORDS) & (F.col("class_distance") > MOST_CLASS_DISTANCE)) | ((F.col("n_words") >= COMMON_WORDS_NEEDED) & (F.col("common_distance") > MOST_COMMON_DISTANCE + COMMON_NOISE / F.sqrt(F.col("n_words"))))
     return df.select("key", "digest", *_BASE, "base_failed", "class_distance", "common_distance", (~F.col("base_failed") & ~bad).alias("kept"))

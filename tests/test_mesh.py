@@ -417,3 +417,13 @@ def test_truncation_matches_the_bit_pattern(spark):
     df = spark.createDataFrame([(k, v) for k, v in enumerate(values) if abs(v) > 1e-250 or v == 0], "k int, x double")
     found = [r[1] for r in df.select("k", scalars.truncate_low_bits(F.col("x"))).orderBy("k").collect()]
     assert [f for f in found if f] == [w for w in wanted if w]
+
+
+def test_owned_entities_of_parts(spark):
+    v = spark.createDataFrame([(p, 10 + k, *r[1:], k % 2 == p) for p in (0, 1) for k, r in enumerate(TET)], "part int, vertex_key long, x double, y double, z double, is_owned boolean")
+    c = spark.createDataFrame([(0, 7, [10, 11, 12, 13], 2, True), (1, 7, [10, 11, 12, 13], 2, False)], "part int, cell_key long, vertex_keys array<bigint>, `group` int, is_owned boolean")
+    tags = spark.createDataFrame([([12, 10, 11], 105)], "nodes array<bigint>, tag int")
+    mesh = partitioned.owned_entities(v, c, tags)
+    assert [tuple(r) for r in mesh.vertices.orderBy("vertex_id").collect()] == TET
+    assert mesh.cells.first().asDict() == {"cell_id": 0, "vertices": [0, 1, 2, 3], "group": 2}
+    assert [(r["face"], r["bc"]) for r in faces.match_facets(mesh.cells, mesh.facets).filter("bc <> 0").collect()] == [(0, 5)]

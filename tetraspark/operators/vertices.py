@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import positive_zero, truncate_low_bits
+from .numbering import numbered
 
 _AXES = ("x", "y", "z")
 
@@ -20,14 +21,11 @@ def _keyed(raw: DataFrame, tolerance: str) -> DataFrame:
 def distinct_vertices(raw: DataFrame, tolerance: str = "exact") -> DataFrame:
     """(vertex_id, x, y, z, kx, ky, kz): ids from 0 in the order of x, y, z.
 
-    A range-partitioned sort gives the order; ids are then a task's rows counted on from those of the
-    tasks before, so no task sees the whole table. Of vertices that 'truncate' merges the least one stands for all.
+    Of vertices that 'truncate' merges the least one stands for all.
     """
     keyed = _keyed(raw, tolerance).groupBy("kx", "ky", "kz").agg(F.min(F.struct(*[positive_zero(F.col(a)).alias(a) for a in _AXES])).alias("v"))
-    ordered = keyed.select("v.x", "v.y", "v.z", "kx", "ky", "kz").orderBy("kx", "ky", "kz")
-    schema = ordered.schema.add("vertex_id", "long")
-    ids = ordered.rdd.zipWithIndex().map(lambda pair: (*pair[0], pair[1]))
-    return raw.sparkSession.createDataFrame(ids, schema).select("vertex_id", *_AXES, "kx", "ky", "kz")
+    found = numbered(keyed.select("v.x", "v.y", "v.z", "kx", "ky", "kz"), ["kx", "ky", "kz"], "vertex_id")
+    return found.select("vertex_id", *_AXES, "kx", "ky", "kz")
 
 
 def global_ids(raw: DataFrame, distinct: DataFrame, tolerance: str = "exact") -> DataFrame:

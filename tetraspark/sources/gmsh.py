@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..mesh import Mesh
 from ..operators.groups import entity_tags
+from ..operators.numbering import numbered
 from ..operators.validate import require_contiguous, require_empty
 from ..schema import element_type, simplex_nodes
 from .lines import between, numbered_lines, tokens
@@ -158,10 +159,8 @@ def build(vertices: DataFrame, elements: DataFrame, order: int) -> Mesh:
     require_empty(vertices.filter("vertex_id is null or x is null or y is null or z is null"), "a node's line doesn't hold numbers")
     require_contiguous(vertices, "vertex_id", "node numbers must be 1 to the number of nodes")
     require_empty(misshapen(elements, order), "an element has too few or too many nodes")
-    cells = simplices(elements, 3, order).orderBy("element")
-    ids = cells.rdd.zipWithIndex().map(lambda p: (p[1], p[0]["nodes"], p[0]["tag"]))
-    numbered = cells.sparkSession.createDataFrame(ids, "cell_id bigint, vertices array<bigint>, `group` int")
-    return Mesh(vertices, numbered, simplices(elements, 2, order).select(F.col("element").alias("facet_id"), "nodes", "tag"), order=order)
+    cells = numbered(simplices(elements, 3, order), ["element"], "cell_id").select("cell_id", F.col("nodes").alias("vertices"), F.col("tag").alias("group"))
+    return Mesh(vertices, cells, simplices(elements, 2, order).select(F.col("element").alias("facet_id"), "nodes", "tag"), order=order)
 
 
 def read(spark: SparkSession, path: str, order: int = 1) -> Mesh:

@@ -7,16 +7,11 @@ from pyspark.sql import functions as F
 
 from ..mesh import Mesh
 from ..operators.faces import permute_faces
+from ..operators.groups import owned
+from ..operators.numbering import numbered
 from ..operators.vertices import connect, distinct_vertices, global_ids
 
 
-def number_cells(cells: DataFrame) -> DataFrame:
-    """cells with cell_id, in the order of part and local_cell, from 0."""
-    ordered = cells.orderBy("part", "local_cell")
-    rows = ordered.rdd.zipWithIndex().map(lambda p: (*p[0], p[1]))
-    return cells.sparkSession.createDataFrame(rows, ordered.schema.add("cell_id", "long"))
-
-
 def assemble(raw_vertices: DataFrame, raw_cells: DataFrame, tolerance: str = "exact") -> Mesh:
     """raw_vertices: (part, local_id, x, y, z); raw_cells: (part, local_cell, v, b, group), the group optional.
 
@@ -26,7 +21,7 @@ def assemble(raw_vertices: DataFrame, raw_cells: DataFrame, tolerance: str = "ex
     ids = global_ids(raw_vertices, distinct, tolerance)
     group = F.coalesce(F.col("group"), F.lit(0)) if "group" in raw_cells.columns else F.lit(0)
     rest = raw_cells.select("part", "local_cell", permute_faces("b").alias("b"), group.cast("int").alias("group"))
-    cells = number_cells(connect(raw_cells, ids).join(rest, ["part", "local_cell"]))
+    cells = numbered(connect(raw_cells, ids).join(rest, ["part", "local_cell"]), ["part", "local_cell"], "cell_id")
     bcs = cells.select("cell_id", F.posexplode("b").alias("face", "bc")).filter("bc <> 0")
     return Mesh(distinct.select("vertex_id", "x", "y", "z"), cells.select("cell_id", "vertices", "group"), face_bcs=bcs)
 
@@ -39,9 +34,8 @@ def read(spark: SparkSession, path: str, tolerance: str = "exact") -> Mesh:
 def owned_entities(vertices: DataFrame, cells: DataFrame, tags: DataFrame | None = None) -> Mesh:
     """A mesh of parts that mark what they own: vertices (part, vertex_key, x, y, z, is_owned), cells (part, cell_key,
     vertex_keys, group, is_owned), tags (nodes of vertex keys, tag). Only owned entities count; ids follow the keys."""
-    number = lambda df, key, name: df.sparkSession.createDataFrame(df.orderBy(key).rdd.zipWithIndex().map(lambda p: (*p[0], p[1])), df.schema.add(name, "long"))
-    v = number(vertices.filter("is_owned").select("vertex_key", "x", "y", "z"), "vertex_key", "vertex_id")
-    c = number(cells.filter("is_owned").select("cell_key", "vertex_keys", "group"), "cell_key", "cell_id")
+    v = numbered(owned(vertices).select("vertex_key", "x", "y", "z"), ["vertex_key"], "vertex_id")
+    c = numbered(owned(cells).select("cell_key", "vertex_keys", "group"), ["cell_key"], "cell_id")
     ids = v.select("vertex_key", "vertex_id")
 
     def renamed(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -51,6 +45,6 @@ def owned_entities(vertices: DataFrame, cells: DataFrame, tags: DataFrame | None
     joined = c.select("cell_id", "group").join(renamed(c, "cell_id", "vertex_keys"), "cell_id").select("cell_id", "vertices", F.col("group").cast("int").alias("group"))
     facets = None
     if tags is not None:
-        numbered = tags.withColumn("facet_id", F.monotonically_increasing_id())
-        facets = renamed(numbered, "facet_id", "nodes").join(numbered.select("facet_id", "tag"), "facet_id").select("facet_id", F.col("vertices").alias("nodes"), "tag")
+        marked = tags.withColumn("facet_id", F.monotonically_increasing_id())
+        facets = renamed(marked, "facet_id", "nodes").join(marked.select("facet_id", "tag"), "facet_id").select("facet_id", F.col("vertices").alias("nodes"), "tag")
     return Mesh(v.select("vertex_id", "x", "y", "z"), joined, facets)

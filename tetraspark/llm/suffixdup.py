@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit
+from .memory import tidy
 from .scratch import Scratch
 
 LENGTH, GRAM = 100, 40
@@ -93,6 +94,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
 def make_slices(docs: DataFrame) -> DataFrame:
     """(slice, body): docs' rows, __key and __text among their columns, as compressed Arrow streams."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -122,14 +124,14 @@ class Slice:
             self._hash = textkit.RangeHash(buf)
             place = np.arange(n - GRAM + 1)
             value = self._hash.of(place, place + GRAM)
-            least, at = value.copy(), place.astype(np.uint32)
-            step, width = 1, 1
+            # the least hash of the next REACH places, of equal ones the first: 32 bits of hash before the place
+            least = (value & ~np.uint64(0xFFFFFFFF)) | place.astype(np.uint64)
+            width = 1
             while width < REACH:
                 step = min(width, REACH - width)
-                later = least[step:] < least[: len(least) - step]
-                at = np.where(later, at[step:], at[: len(at) - step])
-                least = np.where(later, least[step:], least[: len(least) - step])
+                least = np.minimum(least[:-step], least[step:])
                 width += step
+            at = least.astype(np.uint32)
             room = np.maximum(size - LENGTH + 1, 0)
             ends = np.cumsum(room)
             start = np.arange(ends[-1]) + np.repeat(self.offsets[:-1] - (ends - room), room)
@@ -190,6 +192,7 @@ def _joined(masks) -> np.ndarray:
 
 
 def anchors_of(slices: DataFrame, buckets: int) -> DataFrame:
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for key, body in zip(pdf["slice"], pdf["body"], strict=True):
@@ -217,6 +220,7 @@ def repeated_anchors(anchors: DataFrame) -> DataFrame:
 def contexts_of(slices: DataFrame, buckets: int) -> DataFrame:
     """(bucket, slice, n, rows, bytes) of slices with their masks: the first of equal contexts in each slice."""
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for pdf in batches:
@@ -362,6 +366,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     if with_text:
         fields += [T.StructField("doc", source.schema["doc"].dataType), T.StructField("kept", T.BinaryType())]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for body, a, w in zip(batch.column("body"), batch.column("anchor_masks"), batch.column("window_masks"), strict=True):
@@ -390,6 +395,7 @@ def without_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     """docs with what is left of their texts, and length_col, if there, made to fit; characters cut in two go."""
     left = remove_repeats(docs, scratch, id_col, text_col, with_text=True)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [k.as_py().decode(errors="ignore") for k in batch.column("kept")]

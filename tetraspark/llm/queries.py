@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, fingerprints, htmltext, neardup, packing, quality_model, quality_rules, suffixdup, tokenfiles, toxicity
+from .memory import small_batches
+from .rules_sql import rules_sql
 from .scratch import Scratch
 from .tables import table
 
@@ -56,8 +61,17 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _prepared(query: Callable) -> Callable:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
-    f.__name__: f
+    f.__name__: _prepared(f)
     for f in (
         op1_minhash_near_dedup, op2_prefix_bpe, op3_divergence_rules, op4_repair_shards,
         op5_compression_toxicity, op6_minhash_fingerprints, op7_crf_extraction, op8_best_fit_packing,
@@ -66,6 +80,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_divergence_rules": rules_sql(),
     "op1_minhash_near_dedup": r"""
 WITH RECURSIVE words AS (
     SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w

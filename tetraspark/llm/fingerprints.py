@@ -16,9 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lsh, textkit
+from .memory import tidy
 from .scratch import Scratch
 
-PERMUTATIONS, ROWS = 128, 4
+PERMUTATIONS = 256
+#: Of a signature, the components that bands take, and those of a band.
+BANDED, ROWS = 128, 4
 WORDS, PERCENT = 5, 80
 _RNG = np.random.Generator(np.random.PCG64(31))
 _A = _RNG.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -62,7 +65,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def minhash(own: np.ndarray) -> np.ndarray:
     """Signature of a non-empty set, for banding."""
-    return signatures(own, np.array([0, len(own)]))[0]
+    return signatures(own, np.array([0, len(own)]))[0, :BANDED]
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,6 +107,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows of equal id stand by text; a null id sorts first; a sole row's next is itself; no rows give none.
     """
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = pd.DataFrame()
         for pdf in batches:

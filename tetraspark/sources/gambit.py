@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..mesh import Mesh
 from ..operators.groups import assign_groups
 from ..operators.validate import require_empty
-from .lines import between, numbered_lines, tokens
+from .lines import between, stored_lines, tokens
 
 # The format's marks, the width of a coordinate and the elements on a line of a group.
 FILE_MARK = "** GAMBIT NEUTRAL FILE"
@@ -131,7 +131,7 @@ def read_boundaries(lines: DataFrame, sections: tuple[Section, ...]) -> DataFram
 
 
 def read(spark: SparkSession, path: str) -> Mesh:
-    lines = numbered_lines(spark, path)
+    lines = stored_lines(spark, path)
     at = index(lines)
     vertices, cells = read_vertices(lines, at.vertices), read_elements(lines, at.elements)
     require_empty(vertices.filter("x is null or y is null or z is null"), "a vertex's line doesn't hold numbers")

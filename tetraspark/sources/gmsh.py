@@ -14,7 +14,7 @@ from ..operators.groups import entity_tags
 from ..operators.numbering import numbered
 from ..operators.validate import require_contiguous, require_empty
 from ..schema import element_type, simplex_nodes
-from .lines import between, numbered_lines, tokens
+from .lines import between, stored_lines, tokens
 
 
 @dataclass(frozen=True)
@@ -163,12 +163,14 @@ def build(vertices: DataFrame, elements: DataFrame, order: int) -> Mesh:
     return Mesh(vertices, cells, simplices(elements, 2, order).select(F.col("element").alias("facet_id"), "nodes", "tag"), order=order)
 
 
-def read(spark: SparkSession, path: str, order: int = 1) -> Mesh:
-    """Format 2.2 or 4.1 by the file's version; 4.0, whose layout is another one, is refused."""
+def read(spark: SparkSession, path: str, order: int = 1, major: int | None = None) -> Mesh:
+    """Format 2.2 or 4.1 by the file's version, which must be of `major` if that is given; 4.0, whose layout is another one, is refused."""
     element_type(3, order)
-    lines = numbered_lines(spark, path)
+    lines = stored_lines(spark, path)
     found = parts(lines)
     v = version(lines, found)
+    if major not in (None, int(v)):
+        raise ValueError(f"the file has format {v}, not {major}")
     if 2 <= v < 3:
         _require(found, "Nodes", "Elements")
         return build(nodes22(lines, found["Nodes"]), elements22(lines, found["Elements"]), order)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import working_folder
+
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value): the lines of a text file (or of a folder's only file), numbered from 0.
@@ -19,6 +21,14 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.join(starts, "block").select((F.col("mark") - F.col("first") + F.col("start")).alias("line"), "value")
 
 
+def stored_lines(spark: SparkSession, path: str) -> DataFrame:
+    """numbered_lines(), written once as Parquet: sections are ranges of lines, which its statistics leave out unread."""
+    folder = working_folder(spark, "lines")
+    lines = numbered_lines(spark, path)
+    lines.write.parquet(folder)
+    return spark.read.schema(lines.schema).parquet(folder)
+
+
 def tokens(column: str = "value"):
     """A line's words."""
     return F.split(F.trim(F.regexp_replace(column, r"\s+", " ")), " ")

@@ -13,10 +13,7 @@ CLOSED = ("apf", "simmodsuite", "simmodsuite-apf")
 
 def _gmsh(major: int):
     def read(spark: SparkSession, path: str, order: int = 1) -> Mesh:
-        mesh_version = gmsh.version(lines := gmsh.numbered_lines(spark, path), gmsh.parts(lines))
-        if int(mesh_version) != major:
-            raise ValueError(f"the file has format {mesh_version}, not {major}")
-        return gmsh.read(spark, path, order)
+        return gmsh.read(spark, path, order, major)
 
     return read
 

@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tetraspark.llm import neardup, packing, quality_model, quality_rules, suffixdup
+from tetraspark.llm.memory import small_batches
 from tetraspark.llm.scratch import Scratch
 from tetraspark.llm.tables import table
 
@@ -17,26 +18,31 @@ END_ID, WINDOW = 1, 2048
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from labels of documents that aren't held out."""
+    small_batches(spark)
     return quality_model.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def quality_rule_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or diverge from their language go."""
+    small_batches(spark)
     return quality_rules.keep_good(docs, Scratch(spark, "rules"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-equal documents the one with the least id stays."""
+    small_batches(spark)
     return neardup.drop_near_duplicates(docs, Scratch(spark, "near"))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur earlier in the corpus go from the texts."""
+    small_batches(spark)
     return suffixdup.without_repeats(docs, Scratch(spark, "suffix"))
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in sequences of WINDOW tokens."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID, Scratch(spark, "packing"), WINDOW)
 
 

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .memory import tidy
+
 # Block-level elements, elements whose contents aren't text, and elements without an end.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -341,6 +343,7 @@ def extract(pages: DataFrame, field: Field | None = None, keep: tuple[str, ...]
     rows = pages.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(html_col).alias("html"))
     schema = T.StructType([T.StructField(f"k{i}", pages.schema[c].dataType) for i, c in enumerate(keep)] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = [main_text(model.value, page or "") for page in pdf["html"]]

@@ -7,8 +7,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .memory import tidy
 
 
 def held_out(id_col: str, modulus: int, remainder: int) -> Column:
@@ -34,14 +38,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remaind
 def scored(docs: DataFrame, model, score: Callable[[object, pa.Array], np.ndarray], text_col: str = "text") -> DataFrame:
     """(doc struct of all of docs' columns, score): score(model, texts) for each row, whatever the columns' names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    place = docs.columns.index(text_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(score(shared.value, batch.column("text")), pa.float64())], ["doc", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(score(shared.value, pc.fill_null(batch.column("doc").field(place), "")), pa.float64())], ["doc", "score"])
 
-    kind = rows.schema["doc"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc {kind}, score double")
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], T.StructField("score", T.DoubleType())]))
 
 
 def verdicts(docs: DataFrame, model, score, modulus: int, remainder: int, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 
 KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Texts in a batch between Spark and Python; its default is meant for short rows.
-ROWS_A_BATCH = 1000
+ROWS_A_BATCH = 500
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hftok import chunk_encoder
+from .memory import tidy
 from .scratch import Scratch
 
 
@@ -100,6 +101,7 @@ def best_fit(counts: dict[int, int], window: int) -> pd.DataFrame:
 def cut(docs: DataFrame, path: str, end_id: int, window: int, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
     """Each document's pieces: full windows, then the rest, with its rank among this task's pieces of its length."""
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, part, seen = chunk_encoder(path, True), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
@@ -137,6 +139,7 @@ def pack(docs: DataFrame, path: str, end_id: int, scratch: Scratch, window: int
     by_length = {int(k): {c: g[c].to_numpy() for c in plan.columns} for k, g in plan.groupby("length")}
     shared = docs.sparkSession.sparkContext.broadcast(by_length)  # bounded by the window's size
 
+    @tidy
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         plans = shared.value
         for pdf in batches:

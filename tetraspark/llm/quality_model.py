@@ -16,10 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import labelled, textkit
+from .memory import release
 
 MODULUS, REMAINDER, THRESHOLD = 5, 0, 0.3
 #: Bounds of the labelled sample.
-SAMPLE_ROWS, SAMPLE_CHARS = 4000, 50_000
+SAMPLE_ROWS, SAMPLE_CHARS = 3000, 50_000
+#: Text whose tokens' full vectors are held at once in fitting.
+FITTED_BYTES = 1 << 18
 #: Tokens with a vector of their own, and what a vector and an index vector have.
 VOCABULARY, DIMENSIONS, NONZERO, REACH = 20_000, 128, 8, 2
 HIDDEN, EPOCHS, RATE, DECAY = 32, 300, 0.01, 1e-3
@@ -48,7 +51,7 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     start, end = start[kind[start] > 0], end[kind[start] > 0]
     upper = np.concatenate([[0], np.cumsum(_UPPER[buf])])
     capitals = (upper[end] - upper[start] >= 2) & (upper[end] - upper[start] == end - start)
-    kinds = np.where(capitals, 1, np.where(kind[start] == 1, 0, kind[start] - 1))
+    kinds = np.where(capitals, 1, np.where(kind[start] == 1, 0, kind[start] - 1)).astype(np.int8)
     hashes = textkit.RangeHash(buf, lower=True).of(start, end) + capitals.astype(np.uint64)
     return hashes, kinds, np.searchsorted(start, offsets)
 
@@ -84,10 +87,10 @@ def _with_repeats(ids: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tup
     return out, before[first]
 
 
-def _stream(texts: pa.Array):
+def _stream(texts: pa.Array, limit: int = textkit.SLICE_BYTES):
     """(hashes, kinds, first) slice by slice."""
     buf, offsets = textkit.utf8(texts)
-    for a, b in textkit.slices(offsets):
+    for a, b in textkit.slices(offsets, limit):
         yield tokens(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
@@ -104,7 +107,7 @@ def _pooled(ids: np.ndarray, first: np.ndarray, rows: np.ndarray) -> np.ndarray:
 def fit(data: pd.DataFrame, seed: int = 11) -> Model:
     """data: (text, label), shuffled. Without both labels every score is the labels' mean, or 0.5 without rows."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    parts = list(_stream(pa.array(data["text"].tolist(), pa.large_string())))
+    parts = list(_stream(pa.array(data["text"].tolist(), pa.large_string()), FITTED_BYTES))
     every = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
     seen, count = np.unique(every, return_counts=True)
     top = np.sort(seen[np.argsort(-count, kind="stable")][: int(min(VOCABULARY, (count >= 3).sum()))])
@@ -168,7 +171,9 @@ def score(model: Model, texts: pa.Array) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> Model:
-    return fit(labelled.sample(docs, labels, label, MODULUS, REMAINDER, SAMPLE_ROWS, SAMPLE_CHARS, id_col, text_col))
+    model = fit(labelled.sample(docs, labels, label, MODULUS, REMAINDER, SAMPLE_ROWS, SAMPLE_CHARS, id_col, text_col))
+    release()
+    return model
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> DataFrame:

@@ -27,15 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit
-from .memory import tidy
+from .memory import release, tidy
 from .scratch import Scratch
 
 LENGTH, GRAM = 100, 40
 #: Starts of windows that may share an anchor.
 REACH = LENGTH - GRAM + 1
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 #: Text that one bucket's anchors stand for, at least as many buckets as shuffle partitions; and of contexts sorted at once.
-BUCKET_BYTES, SORTED_BYTES = 32_000_000, 1_000_000
+BUCKET_BYTES, SORTED_BYTES = 16_000_000, 400_000
 _KEY, _TEXT = "__key", "__text"
 
 
@@ -313,7 +313,9 @@ def later_windows(contexts: DataFrame) -> DataFrame:
         masks = np.empty(len(ids), np.uint64)
         masks[by] = _settle(value[by], code[by], order[by], shift[by], size[by], [texts[i] for i in by])
         ends = np.cumsum(count)
-        return pd.DataFrame({"slice": pdf["slice"], "bucket": pdf["bucket"], "windows": [masks[e - n : e].tobytes() for e, n in zip(ends, count, strict=True)]})
+        out = pd.DataFrame({"slice": pdf["slice"], "bucket": pdf["bucket"], "windows": [masks[e - n : e].tobytes() for e, n in zip(ends, count, strict=True)]})
+        release()
+        return out
 
     return contexts.groupBy("bucket").applyInPandas(run, "slice long, bucket int, windows binary")
 
@@ -338,7 +340,8 @@ def covered(s: Slice, anchor_masks, window_masks) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256), or with_text: doc, a struct of docs' columns, kept as binary and these.
+    """(key, n_bytes, n_removed, n_spans, kept_sha256), or with_text these, doc, a struct of docs' other columns, and
+    what is left of the text; characters cut in two go.
 
     Removes each byte that a string of LENGTH bytes covers which also starts earlier: in a document with a
     smaller id, or earlier in the same one. Strings are those of the input and never cross documents. Null and
@@ -364,7 +367,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
 
     fields = [T.StructField(_KEY, T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     if with_text:
-        fields += [T.StructField("doc", source.schema["doc"].dataType), T.StructField("kept", T.BinaryType())]
+        fields += [T.StructField("doc", source.schema["doc"].dataType), T.StructField("left", T.StringType())]
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,7 +383,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
                 kept = [s.buf[i:j][~gone[i:j]].tobytes() for i, j in zip(s.offsets[:-1], s.offsets[1:], strict=True)]
                 columns = [s.batch.column(_KEY), pa.array(np.diff(s.offsets)), *[pa.array(np.diff(x[s.offsets]), pa.int64()) for x in sums], pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
                 if with_text:
-                    columns += [s.batch.column("doc"), pa.array(kept, pa.binary())]
+                    columns += [s.batch.column("doc"), pa.array([k.decode(errors="ignore") for k in kept], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
     return marked.select("body", "anchor_masks", "window_masks").mapInArrow(run, T.StructType(fields))
@@ -392,16 +395,7 @@ def digest(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
 
 
 def without_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """docs with what is left of their texts, and length_col, if there, made to fit; characters cut in two go."""
-    left = remove_repeats(docs, scratch, id_col, text_col, with_text=True)
-
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [k.as_py().decode(errors="ignore") for k in batch.column("kept")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(texts, pa.string())], ["doc", "__left"])
-
-    kind = T.StructType([left.schema["doc"], T.StructField("__left", T.StringType())])
-    rows = left.select("doc", "kept").mapInArrow(run, kind)
-    column = lambda c: F.col("__left") if c == text_col else F.length("__left").cast(docs.schema[c].dataType) if c == length_col else F.col(f"doc.`{c}`")
+    """docs with what is left of their texts, and length_col, if there, made to fit."""
+    rows = remove_repeats(docs, scratch, id_col, text_col, with_text=True)
+    column = lambda c: F.col("left") if c == text_col else F.length("left").cast(docs.schema[c].dataType) if c == length_col else F.col(f"doc.`{c}`")
     return rows.select(*[column(c).alias(c) for c in docs.columns])

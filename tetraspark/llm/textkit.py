@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _BASE = int(_RNG.integers(1 << 62, 1 << 63)) | 1
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)

@@ -114,7 +114,7 @@ def judged(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
     refs = scratch.save(references(feats), "references")
     own = refs.filter("not every").select(F.col("lang").alias("of"), F.col("class_ref").alias("a"), F.col("common_ref").alias("b"))
     every = refs.filter("every").select(F.col("class_ref").alias("c"), F.lit(True).alias("every"))  # one row
-    df = feats.join(own, feats["lang"].eqNullSafe(own["of"]), "left").withColumn("every", F.lit(True)).join(every, "every")
+    df = feats.join(own, feats["lang"].eqNullSafe(own["of"]), "left").withColumn("every", F.lit(True)).join(F.broadcast(every), "every")
     df = df.withColumn("class_ref", F.coalesce("a", "c")).withColumn("common_ref", F.coalesce("b", F.array(F.lit(0.0))))
     df = df.withColumn("class_distance", _distance("class_hist", "word_chars", "class_ref")).withColumn("common_distance", _distance("common_hist", "n_words", "common_ref")).withColumn("base_failed", base_failed())
     bad = ((F.col("n_words") >= CLASS_WORDS) & (F.col("class_distance") > MOST_CLASS_DISTANCE)) | ((F.col("n_words") >= COMMON_WORDS_NEEDED) & (F.col("common_distance") > MOST_COMMON_DISTANCE + COMMON_NOISE / F.sqrt(F.col("n_words"))))

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .memory import tidy
+
 #: Unicode White_Space, as the pattern's \s means it for tiktoken.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A run of white space and the run after it. Every boundary between such chunks is one of the pattern's.
@@ -30,24 +32,31 @@ CHUNKS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 LETTERS, NUMBERS, LATIN_SPACE = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
 #: The pattern that LATIN_PRETOKENS stands for on texts within Latin-1.
 COMMON_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LATIN_PRETOKENS = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{LATIN_SPACE}{LETTERS}{NUMBERS}]+|[{LATIN_SPACE}]+(?![^{LATIN_SPACE}])|[{LATIN_SPACE}]+")
-#: Distinct pre-tokens in each half of what a worker remembers.
-REMEMBERED = 400_000
+LATIN_PRETOKENS = re.compile(f" ?[{LETTERS}]+| ?[{NUMBERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{LATIN_SPACE}{LETTERS}{NUMBERS}]+|[{LATIN_SPACE}]+(?![^{LATIN_SPACE}])|[{LATIN_SPACE}]+")
+#: Distinct pre-tokens that a worker remembers, and as many that it has seen once.
+REMEMBERED = 250_000
 
 
 class Remembered(dict):
-    """A dict that makes missing values by a function; at `limit` entries they become the older half, and the older half goes."""
+    """A dict that makes missing values by a function.
+
+    A value waits among `limit` young ones, and stays only when it is asked for again there: most words of a
+    corpus occur once, and don't push out those that don't.
+    """
 
     def __init__(self, make, limit: int = REMEMBERED):
         super().__init__()
-        self._make, self._limit, self._older = make, limit, {}
+        self._make, self._limit, self._young = make, limit, {}
 
     def __missing__(self, key):
-        value = self._older.get(key)
+        value = self._young.pop(key, None)
         if value is None:
             value = self._make(key)
+            if len(self._young) >= self._limit:
+                self._young.clear()
+            self._young[key] = value
+            return value
         if len(self) >= self._limit:
-            self._older = dict(self)
             self.clear()
         self[key] = value
         return value
@@ -191,6 +200,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     Repeated rows and equal ids are encoded row by row; other columns are left out, whatever their names.
     """
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path, pattern)
         for pdf in batches:
@@ -203,6 +213,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
     """(id_col, data binary) from (id_col, ids); null ids give empty bytes."""
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path, pattern)
         for pdf in batches:
@@ -215,6 +226,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id")
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens, ids_sha256, decoded_sha256): encodes each text, then decodes the ids; in one pass, so no ids move."""
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path, pattern)
         for pdf in batches:

@@ -9,15 +9,15 @@ from __future__ import annotations
 
 import os
 import re
-import struct
+from array import array
 from functools import cache
 
 import numpy as np
 
-from .bpe import CHUNKS, LATIN_PRETOKENS, LATIN_SPACE, LETTERS, NUMBERS, Remembered, within_latin1
+from .bpe import CHUNKS, LATIN_PRETOKENS, LATIN_SPACE, LETTERS, NUMBERS, REMEMBERED, Remembered, within_latin1
 
 #: Pre-tokens of the vocabulary that drops white space and case.
-LATIN_WORDS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[{NUMBERS}]|[^{LATIN_SPACE}{LETTERS}{NUMBERS}]+")
+LATIN_WORDS = re.compile(f"[{LETTERS}]+|[{NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^{LATIN_SPACE}{LETTERS}{NUMBERS}]+")
 _SPECIAL = "<|"
 
 
@@ -26,25 +26,32 @@ class ChunkEncoder:
 
     def __init__(self, path: str, words: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._ids = Remembered(self._encode)
+        self._tokens = self._tokenizer.model.tokenize
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self._alphabet = {c: as_bytes(chr(c))[0][0] for c in range(256)}
+        self._blank = self._alphabet[32]
+        self._pretokens = Remembered(self._pretoken)
+        self._chunks = Remembered(self._chunk, REMEMBERED // 8)
         self._words = words
 
-    def _encode(self, piece: str) -> bytes:
-        ids = self._tokenizer.encode(piece, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _pretoken(self, piece: str) -> bytes:
+        """A pre-token within Latin-1, in lower case if case is dropped: the model's merges are all that is left to do."""
+        plain = piece.isascii() and piece.isprintable()
+        spelled = piece.replace(" ", self._blank) if plain else piece.translate(self._alphabet)
+        return array("I", [t.id for t in self._tokens(spelled)]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        return array("I", self._tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not within_latin1(text) or _SPECIAL in text:
-            pieces = CHUNKS.findall(text)
-        elif self._words:
-            pieces = LATIN_WORDS.findall(text.lower())
-        else:
-            pieces = LATIN_PRETOKENS.findall(text)
-        return b"".join(map(self._ids.__getitem__, pieces))
+            return b"".join(map(self._chunks.__getitem__, CHUNKS.findall(text)))
+        pieces = LATIN_WORDS.findall(text.lower()) if self._words else LATIN_PRETOKENS.findall(text)
+        return b"".join(map(self._pretokens.__getitem__, pieces))
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode_bytes(text), "<u4")

@@ -17,18 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hftok import chunk_encoder
+from .memory import tidy
+from .ranges import partitions, with_range
 from .scratch import Scratch
 
 MAGIC = b"RPSHARD1"
 #: A shard is closed once it holds this many ids.
 SHARD_IDS = 1 << 20
 #: Rounds of pair replacement, pairs replaced in a round, and the least count that earns a rule.
-ROUNDS, PAIRS_A_ROUND, LEAST_COUNT = 3, 4096, 8
+ROUNDS, PAIRS_A_ROUND, LEAST_COUNT = 2, 7000, 8
 _SLOTS_LOG = 18
 
 
@@ -121,16 +122,17 @@ class ShardReader:
         self.pairs, self.lengths = take("<u4", 2 * rules).reshape(-1, 2), take("<u4", rules)
         self.symbols = take(f"<u{width}", symbols)
 
-        # every symbol's ids, one after another
+        # every symbol's ids, one after another: the base ids, then the rules unfolded until no rule is left in them
         self._size = np.concatenate([np.ones(self.base, np.int64), self.lengths.astype(np.int64)])
         self._at = np.cumsum(self._size) - self._size
-        self._flat = np.arange(self._size.sum(), dtype="<u4")
-        for k in range(rules):
-            a, at = self._at[self.base + k], 0
-            for s in self.pairs[k]:
-                n = self._size[s]
-                self._flat[a + at : a + at + n] = self._flat[self._at[s] : self._at[s] + n]
-                at += n
+        flat = self.pairs.ravel().astype(np.int64)
+        while (rule := flat >= self.base).any():
+            at = np.cumsum(rule + 1) - (rule + 1)
+            wider = np.empty(len(flat) + int(rule.sum()), np.int64)
+            wider[at] = flat
+            wider[at[rule]], wider[at[rule] + 1] = self.pairs[flat[rule] - self.base].T
+            flat = wider
+        self._flat = np.concatenate([np.arange(self.base), flat]).astype("<u4")
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
         size = self._size[symbols]
@@ -160,29 +162,29 @@ def write_shards(docs: DataFrame, path: str, base: int, end_id: int, scratch: Sc
     Null and empty texts hold the end id alone; rows of equal id stand by text, repeated rows next to each
     other; a null id sorts first and is stored as the least 64-bit integer. An empty table gives no shards.
     """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(n, "key").sortWithinPartitions("key", "text")
+    rows = with_range(rows).repartition(partitions(docs), "part").sortWithinPartitions("part", "key", "text")
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, part = chunk_encoder(path), TaskContext.get().partitionId()
+        encoder, end = chunk_encoder(path), np.array([end_id], "<u4").tobytes()
         keys: list[int] = []
         ids: list[np.ndarray] = []
-        held = seq = 0
+        part = held = seq = 0
 
         def shard() -> pd.DataFrame:
             return pd.DataFrame({"part": [part], "seq": [seq], "n_docs": [len(keys)], "n_ids": [held], "payload": [write_payload(keys, ids, base)]})
 
-        end = np.array([end_id], "<u4").tobytes()
         for pdf in batches:
-            for key, text in zip(pdf["key"], pdf["text"], strict=True):
+            for of, key, text in zip(pdf["part"], pdf["key"], pdf["text"], strict=True):
+                if keys and (of != part or held >= SHARD_IDS):
+                    yield shard()
+                    keys, ids, held, seq = [], [], 0, seq + 1
+                if of != part:
+                    part, seq = of, 0
                 keys.append(key)
                 ids.append(np.frombuffer(encoder.encode_bytes(text) + end, "<u4"))
                 held += len(ids[-1])
-                if held >= SHARD_IDS:
-                    yield shard()
-                    keys, ids, held, seq = [], [], 0, seq + 1
         if keys:
             yield shard()
 
@@ -206,6 +208,7 @@ def read_documents(shards: DataFrame, id_col: str = "doc_id", with_ids: bool = F
     """(id_col, start, n_tokens, ids_crc32[, ids]) of each document, decoded from the shards."""
     located = shards.select("part", "seq", "payload").join(shard_offsets(shards.select("part", "seq", "n_ids")), ["part", "seq"])
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for payload, before in zip(pdf["payload"], pdf["before"], strict=True):

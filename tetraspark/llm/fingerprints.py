@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from . import lsh, textkit
 from .memory import tidy
+from .ranges import partitions, with_range
 from .scratch import Scratch
 
 PERMUTATIONS = 256
@@ -84,11 +85,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     the very first), so no window runs over the whole table. Only one id a part comes to the driver.
     """
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cuts = sorted(set(rows.select(F.col("key").cast("double").alias("key")).approxQuantile("key", [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("key").cast("double"))) if cuts else F.lit(0)
-    rows = rows.withColumn("part", part)
+    rows = with_range(rows)
     firsts = sorted((r["part"], r["key"]) for r in rows.groupBy("part").agg(F.min("key").alias("key")).collect())
     echoes = [(key, firsts[i - 1][0]) for i, (_, key) in enumerate(firsts)]
     to = F.broadcast(spark.createDataFrame(echoes, "key long, echo_part int"))  # one row a part
@@ -96,7 +94,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     own = F.struct(F.col("part").alias("part"), F.lit(False).alias("echo"))
     echo = F.struct(F.col("echo_part").alias("part"), F.lit(True).alias("echo"))
     rows = rows.select(F.explode(F.when(F.col("echo_part").isNull(), F.array(own)).otherwise(F.array(own, echo))).alias("at"), "key", "text").select("at.part", "at.echo", "key", "text")
-    return rows.repartitionByRange(n, "part").sortWithinPartitions("part", "echo", "key", "text")
+    return rows.repartition(partitions(docs), "part").sortWithinPartitions("part", "echo", "key", "text")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 AXES = ("x", "y", "z")
 
 
-def corner_coordinates(cells: DataFrame, vertices: DataFrame) -> DataFrame:
-    """cells with x0, y0, z0 to x3, y3, z3 of their four corners.
+def folded_corners(cells: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(cell_id, x0, y0, z0 to x3, y3, z3): coordinates of cells' four corners.
 
     One join for all corners: cells are unfolded by corner, joined and folded again by cell, so the vertex
     table moves once, not four times. Corners are a cell's first four nodes, whatever its order. Cells with a
@@ -17,8 +17,12 @@ def corner_coordinates(cells: DataFrame, vertices: DataFrame) -> DataFrame:
     """
     corners = cells.select("cell_id", F.posexplode(F.slice("vertices", 1, 4)).alias("corner", "vertex_id"))
     found = corners.join(vertices.select("vertex_id", *AXES), "vertex_id", "left")
-    folded = found.groupBy("cell_id").agg(*[F.max(F.when(F.col("corner") == k, F.col(a))).alias(f"{a}{k}") for k in range(4) for a in AXES])
-    return cells.join(folded, "cell_id")
+    return found.groupBy("cell_id").agg(*[F.max(F.when(F.col("corner") == k, F.col(a))).alias(f"{a}{k}") for k in range(4) for a in AXES])
+
+
+def corner_coordinates(cells: DataFrame, vertices: DataFrame) -> DataFrame:
+    """cells with the columns of folded_corners()."""
+    return cells.join(folded_corners(cells, vertices), "cell_id")
 
 
 def _edge(a: int, b: int) -> tuple[str, str, str]:
@@ -57,7 +61,7 @@ def largest_side_sql() -> str:
 
 def insphere(cells: DataFrame, vertices: DataFrame) -> DataFrame:
     """(cell_id, insphere): radius of the inscribed sphere; null for a cell without surface."""
-    at = corner_coordinates(cells, vertices)
+    at = folded_corners(cells, vertices)
     return at.select("cell_id", F.expr(f"{determinant_sql()} / nullif({surface_sql()}, 0D)").alias("insphere"))
 
 
@@ -66,5 +70,5 @@ def aspect_ratio(cells: DataFrame, vertices: DataFrame) -> DataFrame:
 
     An open stand-in for a closed kernel's measure. Null for a cell without volume.
     """
-    at = corner_coordinates(cells, vertices)
+    at = folded_corners(cells, vertices)
     return at.select("cell_id", F.expr(f"{longest_edge_sql()} * {largest_side_sql()} / nullif({determinant_sql()}, 0D)").alias("aspect_ratio"))

@@ -13,7 +13,7 @@ from tetraspark.mesh import Mesh
 from tetraspark.operators import boundary, faces, geometry, groups, quality, sizing, validate, vertices
 from tetraspark.plans.convert import convert
 from tetraspark.schema import boundary_format, element_type, simplex_nodes
-from tetraspark.sinks import puml
+from tetraspark.sinks import columnar
 from tetraspark.sources import gambit, gmsh, partitioned, registry, xmlconfig
 from tetraspark.sources.boxmesh import box
 from tetraspark.streaming.monitor import arriving_cells, group_counts
@@ -379,19 +379,19 @@ def test_conversion(spark, tmp_path):
     out = str(tmp_path / "out")
     manifest = convert(spark, path, out, "msh4", boundary="i64", compactify=True)
     assert (manifest["cell_count"], manifest["vertex_count"], manifest["boundary_format"], manifest["degenerate_cells"]) == (36, 24, "i64", 0)
-    tables, stored = puml.read(spark, out)
+    tables, stored = columnar.read(spark, out)
     assert stored["cell_count"] == 36 and tables["group"].schema["group"].dataType.simpleString() == "tinyint"
     assert 'Dimensions="36 4"' in (tmp_path / "out" / "mesh.xdmf").read_text() and json.loads((tmp_path / "out" / "manifest.json").read_text()) == stored
 
 
 def test_names():
-    assert puml.output_name("a/mesh.neu") == "a/mesh.puml.h5" and puml.output_name("mesh") == "mesh.puml.h5" and puml.output_name("x", "y") == "y"
-    assert [puml.description_name(n) for n in ("a.puml.h5", "a.h5", "a")] == ["a.xdmf", "a.xdmf", "a.xdmf"]
+    assert columnar.output_name("a/mesh.neu") == "a/mesh.puml.h5" and columnar.output_name("mesh") == "mesh.puml.h5" and columnar.output_name("x", "y") == "y"
+    assert [columnar.description_name(n) for n in ("a.puml.h5", "a.h5", "a")] == ["a.xdmf", "a.xdmf", "a.xdmf"]
 
 
 def test_compact_types(spark):
     for most, kind in ((127, "tinyint"), (128, "smallint"), (40000, "int"), (3_000_000_000, "bigint")):
-        assert puml.compact(spark.createDataFrame([(0,), (most,)], "v long"), "v").schema["v"].dataType.simpleString() == kind
+        assert columnar.compact(spark.createDataFrame([(0,), (most,)], "v long"), "v").schema["v"].dataType.simpleString() == kind
     widths = spark.createDataFrame([(0,), (1,), (255,), (256,)], "n long").select(scalars.compact_bytes(F.col("n")))
     assert [r[0] for r in widths.collect()] == [0, 1, 1, 2]
 

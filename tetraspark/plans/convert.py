@@ -9,7 +9,7 @@ from ..mesh import Mesh
 from ..operators.faces import repeated_facets
 from ..operators.quality import summary
 from ..operators.validate import dangling_corners, require_empty
-from ..sinks import puml
+from ..sinks import columnar
 from ..sources.registry import read_mesh
 from ..storage import working_folder
 
@@ -38,4 +38,4 @@ def convert(spark: SparkSession, source_path: str, output: str, source: str = "g
     mesh = materialise(read_mesh(spark, source_path, source, **options), working_folder(spark, "convert"))
     check(mesh)
     found = summary(mesh).select(F.col("min_insphere"), "degenerate_cells").first()
-    return puml.write(mesh, output, boundary, compactify, compression) | found.asDict()
+    return columnar.write(mesh, output, boundary, compactify, compression) | found.asDict()

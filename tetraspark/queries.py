@@ -13,7 +13,7 @@ from .functions import scalars
 from .mesh import Mesh
 from .operators import boundary, faces, geometry, groups, quality, sizing, validate, vertices
 from .schema import ELEMENT_TYPES, simplex_nodes
-from .sinks import puml
+from .sinks import columnar
 from .sources import gambit, gmsh, partitioned, xmlconfig
 from .sources.boxmesh import TETRAHEDRA, box
 from .sources.tables import table
@@ -317,7 +317,7 @@ def _written(mesh: Mesh, text_of, name: str) -> str:
 def _read_back(mesh: Mesh) -> DataFrame:
     """Cells with their corners' coordinates and their tags packed."""
     at = geometry.corner_coordinates(mesh.cells, mesh.vertices)
-    tags = boundary.encode(puml.face_tags(mesh), mesh.cells, "i32")
+    tags = boundary.encode(columnar.face_tags(mesh), mesh.cells, "i32")
     return at.join(tags, "cell_id").select("cell_id", "group", *[f"{a}{k}" for k in range(4) for a in "xyz"], "boundary")
 
 
@@ -337,8 +337,8 @@ def msh4_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def puml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = working_folder(spark, "puml")
-    puml.write(_box(spark, sf_dir), folder, "i32")
-    parts, _ = puml.read(spark, folder)
+    columnar.write(_box(spark, sf_dir), folder, "i32")
+    parts, _ = columnar.read(spark, folder)
     cells = parts["connect"].join(parts["group"], "cell_id")
     at = geometry.corner_coordinates(cells, parts["geometry"])
     return at.join(parts["boundary"], "cell_id").select("cell_id", "group", *[f"{a}{k}" for k in range(4) for a in "xyz"], "boundary")

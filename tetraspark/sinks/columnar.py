@@ -14,6 +14,8 @@ from ..operators.boundary import encode
 from ..operators.faces import match_facets
 from ..schema import boundary_format
 
+# The endings of outputs and the name of the described grid.
+OUTPUT_ENDINGS, GRID_NAME = (".puml.h5", ".h5"), "puml mesh"
 TABLES = ("connect", "geometry", "group", "boundary")
 _KINDS = {1: "tinyint", 2: "smallint", 3: "int", 4: "int"}
 
@@ -23,12 +25,12 @@ def output_name(source: str, output: str | None = None) -> str:
     if output:
         return output
     stem = source[: source.rfind(".")] if "." in source else source
-    return f"{stem}.puml.h5"
+    return stem + OUTPUT_ENDINGS[0]
 
 
 def description_name(output: str) -> str:
     """The name of the XDMF description beside an output."""
-    for ending in (".puml.h5", ".h5"):
+    for ending in OUTPUT_ENDINGS:
         if output.endswith(ending):
             return output[: -len(ending)] + ".xdmf"
     return f"{output}.xdmf"
@@ -73,7 +75,7 @@ def xdmf(base: str, cells: int, vertices: int, form: str) -> str:
 
     return (
         '<?xml version="1.0" ?>\n<!DOCTYPE Xdmf SYSTEM "Xdmf.dtd" []>\n<Xdmf Version="2.0">\n <Domain>\n'
-        '  <Grid Name="puml mesh" GridType="Uniform">\n'
+        f'  <Grid Name="{GRID_NAME}" GridType="Uniform">\n'
         f'   <Topology TopologyType="Tetrahedron" NumberOfElements={quoteattr(str(cells))}>\n{item("Int", 8, f"{cells} 4", "connect")}   </Topology>\n'
         f'   <Geometry name="geo" GeometryType="XYZ" NumberOfElements={quoteattr(str(vertices))}>\n{item("Float", 8, f"{vertices} 3", "geometry")}   </Geometry>\n'
         f'   <Attribute Name="group" Center="Cell">\n{item("Int", 4, str(cells), "group")}   </Attribute>\n'

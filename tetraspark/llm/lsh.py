@@ -19,11 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
+from .memory import tidy
 from .scratch import Scratch
 
 Signer = Callable[[np.ndarray], np.ndarray]
 #: Shingle hashes in a block of sets, and signatures in a block.
-BLOCK_SHINGLES, BLOCK_ROWS = 1_000_000, 4_000
+BLOCK_SHINGLES, BLOCK_ROWS = 250_000, 2_000
+#: Tasks that the rows of one home or band value are dealt to before their blocks are known.
+SALTS = 32
 #: A pair's signatures agree in at least the threshold less this many standard deviations, or it isn't a link.
 DEVIATIONS = 5.0
 
@@ -61,6 +64,7 @@ def _list(kind: pa.DataType, values: np.ndarray, sizes: list[int]) -> pa.Array:
 def features(docs: DataFrame, k: int, signer: Signer, rows: int) -> DataFrame:
     """(key, n, lo, hi, signature, bands); an empty set has no bands. docs: (key, text)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, lo, hi, signatures, bands = [], [], [], [], []
@@ -83,6 +87,7 @@ def features(docs: DataFrame, k: int, signer: Signer, rows: int) -> DataFrame:
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     """(key, lo, hi, shingles binary): sorted distinct hashes as little-endian 64-bit values."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(sets_of(batch.column("text"), k))
@@ -106,6 +111,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(u, v, ok) for pairs (u, v)."""
     a, b = sets.select(F.col("key").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("key").alias("v"), F.col("shingles").alias("y"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             view = lambda c: [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)]
@@ -140,11 +146,17 @@ def _blocks(members: DataFrame, strays: DataFrame, group: str, weight: str, limi
     Blocks are cut by weight, so a group of any size is spread over tasks. role 1: stray.
     """
     count = lambda df, name: df.groupBy(group).agg(F.ceil(F.sum(weight) / F.lit(limit)).cast("int").alias(name))
-    sizes = count(members, "ni").join(count(strays, "nj"), group)
-    spread = lambda df, own, other, n: df.join(sizes, group).withColumn(own, F.pmod(F.xxhash64("key"), F.col(n[0])).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n[1]) - 1))).drop("ni", "nj")
-    m = spread(members, "i", "j", ("ni", "nj")).withColumn("role", F.lit(0))
-    s = spread(strays, "j", "i", ("nj", "ni")).withColumn("role", F.lit(1))
-    return m.unionByName(s.select(*m.columns))
+    sizes = count(members, "ni").join(count(strays, "nj"), group).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+    def spread(df: DataFrame, own: str, other: str, n_own: str, n_other: str) -> DataFrame:
+        salted = df.withColumn("salt", F.pmod(F.xxhash64("key", F.lit(group)), F.lit(SALTS)).cast("int")).join(sizes, [group, "salt"])
+        placed = salted.withColumn(own, F.pmod(F.xxhash64("key"), F.col(n_own)).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).drop("ni", "nj", "salt")
+
+    m = spread(members, "i", "j", "ni", "nj").withColumn("role", F.lit(0))
+    s = spread(strays, "j", "i", "nj", "ni").withColumn("role", F.lit(1))
+    # by group alone, all blocks of a group would stay together
+    return m.unionByName(s.select(*m.columns)).repartition(group, "i", "j")
 
 
 def _links_of_home(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -218,7 +230,11 @@ def classes(docs: DataFrame, scratch: Scratch, k: int, percent: int, signer: Sig
     member = home.select(F.col("rep").alias("key"), "home").join(sets, "key").withColumn("n", F.length("shingles") / 8)
     stray = star.filter("not ok").select(F.col("u").alias("key"), F.col("v").alias("home")).distinct().join(sets, "key").withColumn("n", F.length("shingles") / 8)
     at_home = _blocks(member, stray, "home", "n", BLOCK_SHINGLES).groupBy("home", "i", "j").applyInPandas(lambda pdf: _links_of_home(pdf, percent), "u long, v long")
-    near = scratch.save(near.unionByName(at_home).distinct(), "links")
+    # rows of one id with different texts are one document
+    torn = usable.groupBy("key").agg(F.min(F.struct("lo", "hi", "n")).alias("a"), F.max(F.struct("lo", "hi", "n")).alias("b")).filter("a <> b").select("key")
+    parts = usable.select("key", "lo", "hi", "n").join(torn, "key").join(nodes.select("lo", "hi", "n", "rep"), ["lo", "hi", "n"]).select("key", "rep").distinct()
+    tied = parts.join(parts.groupBy("key").agg(F.min("rep").alias("u")), "key").filter("u <> rep").select("u", F.col("rep").alias("v"))
+    near = scratch.save(near.unionByName(at_home).unionByName(tied).distinct(), "links")
     found = components(near, scratch, "first")
 
     # nodes of one band value with different homes and components, against each other
@@ -237,4 +253,4 @@ def classes(docs: DataFrame, scratch: Scratch, k: int, percent: int, signer: Sig
 
     of_set = nodes.select("lo", "hi", "n", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("lo", "hi", "n", F.coalesce("component", "rep").alias("component"))
     out = feats.select("key", "n", "lo", "hi").join(of_set, ["lo", "hi", "n"], "left")
-    return out.select("key", "n", F.when(F.col("n") > 0, F.coalesce("component", "key")).otherwise(F.col("key")).alias("component"))
+    return out.select("key", "n", F.when(F.col("key").isNotNull() & (F.col("n") > 0), F.coalesce("component", "key")).otherwise(F.col("key")).alias("component"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..mesh import Mesh
 from ..operators.groups import assign_groups
 from ..operators.validate import require_empty
-from .lines import between, stored_lines, tokens
+from .lines import between, in_ranges, stored_lines, tokens
 
 # The format's marks, the width of a coordinate and the elements on a line of a group.
 FILE_MARK = "** GAMBIT NEUTRAL FILE"
@@ -114,8 +114,7 @@ def _of_sections(lines: DataFrame, sections: tuple[Section, ...]) -> DataFrame:
     """(line, value, tag, number): lines of sections, and each section's number among them."""
     spark = lines.sparkSession
     rows = [(s.first, s.first + s.lines, s.value, k) for k, s in enumerate(sections)]
-    table = F.broadcast(spark.createDataFrame(rows, "low long, high long, tag int, number int"))  # one row a section
-    return lines.join(table, (F.col("line") >= F.col("low")) & (F.col("line") < F.col("high")))
+    return in_ranges(lines, spark.createDataFrame(rows, "low long, high long, tag int, number int"))
 
 
 def read_groups(lines: DataFrame, sections: tuple[Section, ...]) -> DataFrame:

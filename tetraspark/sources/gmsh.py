@@ -14,7 +14,7 @@ from ..operators.groups import entity_tags
 from ..operators.numbering import numbered
 from ..operators.validate import require_contiguous, require_empty
 from ..schema import element_type, simplex_nodes
-from .lines import between, stored_lines, tokens
+from .lines import between, in_ranges, stored_lines, tokens
 
 
 @dataclass(frozen=True)
@@ -103,13 +103,9 @@ def _block_heads(words: DataFrame, first: int, lines_each: int) -> DataFrame:
 
 
 def _in_blocks(words: DataFrame, heads: DataFrame, lines_each: int) -> DataFrame:
-    """(line, w, at, h, n): lines below heads, and each one's place below its head.
-
-    Heads are one row a block of an entity, which a model's author makes one by one, so they are sent to all lines.
-    """
-    ranges = heads.select(F.col("line").alias("head"), "h", "n")
-    inside = (F.col("line") > F.col("head")) & (F.col("line") <= F.col("head") + lines_each * F.col("n"))
-    return words.join(F.broadcast(ranges), inside).withColumn("at", F.col("line") - F.col("head") - 1)
+    """(line, w, head, at, h, n): lines below heads, and each one's place below its head."""
+    below = heads.select(F.col("line").alias("head"), "h", "n", (F.col("line") + 1).alias("low"), (F.col("line") + 1 + lines_each * F.col("n")).alias("high"))
+    return in_ranges(words, below).withColumn("at", F.col("line") - F.col("low"))
 
 
 def nodes41(lines: DataFrame, part: Part) -> DataFrame:

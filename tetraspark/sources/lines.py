@@ -37,3 +37,18 @@ def tokens(column: str = "value"):
 def between(lines: DataFrame, first: int, n: int) -> DataFrame:
     """n lines from `first`, with their place `at` among them."""
     return lines.filter((F.col("line") >= first) & (F.col("line") < first + n)).withColumn("at", F.col("line") - first)
+
+
+#: Lines whose ranges are looked up together.
+LINES_A_STRETCH = 1 << 16
+
+
+def in_ranges(lines: DataFrame, ranges: DataFrame) -> DataFrame:
+    """lines with the columns of the range (low, high, ..; high left out) that each is in; lines outside all go.
+
+    Ranges are unfolded by stretches of lines, so this is an equi-join however many there are.
+    """
+    stretch = lambda column: F.expr(f"{column} div {LINES_A_STRETCH}")
+    spread = ranges.filter("low < high").withColumn("__stretch", F.explode(F.sequence(stretch("low"), stretch("(high - 1)"))))
+    found = lines.withColumn("__stretch", stretch("line")).join(spread, "__stretch")
+    return found.filter("line >= low and line < high").drop("__stretch")

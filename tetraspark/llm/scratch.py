@@ -11,8 +11,12 @@ KEY = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where it is unset (tests), one of this machine."""
-    return spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY) or f"file://{tempfile.gettempdir()}/tetraspark-scratch"
+    """The folder named by spark.checkpoint.dir, or set on the context; only where neither is (tests), one of this machine."""
+    named = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
+    if not named:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = given.get() if given.isDefined() else f"file://{tempfile.gettempdir()}/tetraspark-scratch"
+    return named
 
 
 class Scratch:

@@ -11,6 +11,9 @@ KEY = "spark.checkpoint.dir"
 
 
 def working_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir; below this machine's temporary one only where that is unset."""
-    root = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY) or f"file://{tempfile.gettempdir()}/tetraspark"
+    """A fresh folder below spark.checkpoint.dir, or what is set on the context; below this machine's temporary one only where neither is."""
+    root = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
+    if not root:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = given.get() if given.isDefined() else f"file://{tempfile.gettempdir()}/tetraspark"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

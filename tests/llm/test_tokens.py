@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -113,6 +114,25 @@ def test_repeats_become_rules():
         tokenfiles.ShardReader(b"something else" * 10)
 
 
+def test_no_frequent_pair_is_left():
+    rnd = np.random.default_rng(3)
+    copy = rnd.integers(0, 50_000, 700)
+    documents_ = [copy if k % 3 == 0 else rnd.zipf(1.3, 400) % 50_000 for k in range(90)] + [np.array([], int), np.full(1000, 7)]
+    documents_ += [rnd.integers(0, 5, 20_000)]
+    ids, first = np.concatenate(documents_), np.cumsum([0, *map(len, documents_)])
+    symbols, starts, pairs, lengths = tokenfiles.compress(ids, first, 50_257)
+    left = Counter()
+    for a, b in zip(starts[:-1], starts[1:]):
+        left.update(zip(symbols[a : b - 1].tolist(), symbols[a + 1 : b].tolist()))
+    assert max(left.values()) < tokenfiles.LEAST_COUNT and lengths.max() >= 512
+    shard = tokenfiles.ShardReader(tokenfiles.write_payload(list(range(len(documents_))), documents_, 50_257))
+    assert (shard.lengths == lengths).all() and (shard.all_ids() == ids).all()
+    assert shard.document(3, 100, 650).tolist() == copy[100:650].tolist()
+    # more rules than 16 bits hold
+    shard = tokenfiles.ShardReader(tokenfiles.write_payload([0], [documents_[-1]], (1 << 16) - 3))
+    assert len(shard.pairs) > 3 and (shard.all_ids() == documents_[-1]).all()
+
+
 @pytest.mark.parametrize("shard_ids", [5, 1 << 20])
 def test_shards_of_a_table(spark, monkeypatch, shard_ids):
     monkeypatch.setattr(tokenfiles, "SHARD_IDS", shard_ids)

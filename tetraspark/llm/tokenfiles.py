@@ -1,13 +1,13 @@
 """Token-id shards compressed by Re-Pair (operator 4).
 
-A shard holds consecutive documents. Frequent pairs of ids get a nonterminal each, round after round;
-the payload stores the rules, how many ids each nonterminal stands for, and the remaining symbols, so any
-token range of any document is decoded without the rest. Payloads travel as rows of a Parquet table,
+A shard holds consecutive documents. Frequent pairs of symbols get a nonterminal each, round after round until
+no frequent pair is left; the payload stores the rules and the remaining symbols, so any token range of any
+document is decoded without the rest. Payloads travel as rows of a Parquet table,
 since that is what every store that Spark writes to can commit safely.
 
-Payload, little-endian: magic, then 7 uint64 (base ids, rules, documents, symbols, ids, width of a symbol,
-0), then int64 document ids, int64 first ids, int64 first symbols (one more at the end of both), uint32
-rule pairs, uint32 expansion lengths, symbols of that width.
+Payload, little-endian: magic, then 7 uint64 (base ids, rules, documents, symbols, ids, bits of a symbol,
+0), then int64 document ids, int64 first ids, int64 first symbols (one more at the end of both), rule pairs
+and symbols of that many bits (`packed`). How many ids a rule stands for follows from the pairs.
 """
 
 from __future__ import annotations
@@ -25,11 +25,13 @@ from .memory import tidy
 from .ranges import partitions, with_range
 from .scratch import Scratch
 
-MAGIC = b"RPSHARD1"
+MAGIC = b"RPSHARD2"
 #: A shard is closed once it holds this many ids.
 SHARD_IDS = 1 << 20
-#: Rounds of pair replacement, pairs replaced in a round, and the least count that earns a rule.
-ROUNDS, PAIRS_A_ROUND, LEAST_COUNT = 2, 7000, 8
+#: The least count that earns a pair a rule.
+LEAST_COUNT = 8
+#: Times that a round looks for pairs that overlap none it replaces.
+PASSES = 3
 _SLOTS_LOG = 18
 
 
@@ -37,70 +39,97 @@ def compress(ids: np.ndarray, first: np.ndarray, base: int) -> tuple[np.ndarray,
     """Symbols, each document's first symbol, rule pairs and expansion lengths.
 
     ids: of all documents; first: each document's first id and the end. No pair crosses documents.
-    Symbols take 16 bits where the vocabulary leaves room for the rules, so that pairs take 32.
+    Ends when no pair is left that occurs LEAST_COUNT times. In a round each pair that does is replaced where it
+    is more frequent than the pairs that it overlaps; the most frequent one is so everywhere, so each round
+    makes rules. A pair's count can only fall unless it holds a new symbol, so that a round looks only at new
+    symbols' pairs and at those that were frequent in the round before.
     """
-    small = base + ROUNDS * PAIRS_A_ROUND < 1 << 16
-    one, two, bits = (np.uint16, np.uint32, 16) if small else (np.uint32, np.uint64, 32)
-    golden = two(0x9E3779B1 if small else 0x9E3779B97F4A7C15)
-    slot_of = lambda c: (c * golden) >> two(2 * bits - _SLOTS_LOG)
-    across = np.iinfo(two).max
-    symbols, starts = ids.astype(one), first.astype(np.int64)
+    symbols, starts = ids.astype(np.uint32), first.astype(np.int64)
     rules: list[np.ndarray] = []
+    lengths = [np.ones(base, np.int64)]
     made = 0
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
+    live = np.ones(len(symbols), bool)
+    table = np.empty(1 << _SLOTS_LOG, np.int32)
+    while True:
+        live[starts[starts > 0] - 1] = False
+        at = np.flatnonzero(live)
+        if len(at) < LEAST_COUNT:
             break
-        code = (symbols[:-1].astype(two) << two(bits)) | symbols[1:]
-        code[starts[(starts > 0) & (starts < len(symbols))] - 1] = across
+        # pairs take 32 bits as long as their symbols take 16
+        two, bits = (np.uint32, 16) if base + made <= 1 << 16 else (np.uint64, 32)
+        code = (symbols[at].astype(two) << two(bits)) | symbols[at + 1].astype(two)
         ordered = np.sort(code)
-        edge = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
-        edge = np.concatenate([[0], edge])
+        edge = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
         count = np.diff(np.append(edge, len(ordered)))
-        good = np.flatnonzero((count >= LEAST_COUNT) & (ordered[edge] != across))
-        if len(good) > PAIRS_A_ROUND:
-            good = good[np.argsort(-count[good], kind="stable")[:PAIRS_A_ROUND]]
+        good = np.flatnonzero(count >= LEAST_COUNT)
         if not len(good):
             break
-        # one slot for each pair, by hash; of pairs that share a slot, one waits for the next round
-        pairs = np.sort(ordered[edge[good]])
-        table = np.full(1 << _SLOTS_LOG, -1, np.int16)
-        table[slot_of(pairs)] = np.arange(len(pairs))
-        pairs = pairs[np.unique(table[slot_of(pairs)])]
+        # a pair's rank is its place by count; of pairs that share a slot, the last and most frequent has it, the others wait
+        pairs = ordered[edge[good[np.argsort(count[good], kind="stable")]]]
+        golden = two(0x9E3779B1 if bits == 16 else 0x9E3779B97F4A7C15)
+        slot_of = lambda c: ((c * golden) >> two(2 * bits - _SLOTS_LOG)).astype(np.intp)
         table.fill(-1)
-        table[slot_of(pairs)] = np.arange(len(pairs))
-        which = table[slot_of(code)]
-        at = np.flatnonzero(which >= 0)
-        which = which[at]
-        true = pairs[which] == code[at]
-        at, which = at[true], which[true]
-        # of a run of overlapping pairs, every second one
-        run = np.concatenate([[True], np.diff(at) != 1])
-        odd = (at - np.maximum.accumulate(np.where(run, at, 0))) & 1 == 0
-        at, which = at[odd], which[odd]
-        symbols[at] = (which.astype(np.int64) + (base + made)).astype(one)
+        table[slot_of(pairs)] = np.arange(len(pairs), dtype=np.int32)
+        rank = table[slot_of(code)]
+        taken = rank >= 0
+        at, code, rank = at[taken], code[taken], rank[taken]
+        live[:] = False
+        live[at] = True
+        rank[pairs[rank] != code] = -1
+        # where a pair isn't less frequent than its neighbours, then likewise among those that overlap none of these;
+        # of a run of one symbol, every second pair
+        chosen = []
+        near = np.zeros(len(symbols) + 2, bool)  # one place further on
+        at, rank = at[rank >= 0], rank[rank >= 0]
+        for _ in range(PASSES):
+            touch = np.diff(at) == 1
+            best = np.ones(len(at), bool)
+            best[1:] &= ~touch | (rank[1:] >= rank[:-1])
+            best[:-1] &= ~touch | (rank[:-1] >= rank[1:])
+            where, which = at[best], rank[best]
+            run = np.concatenate([[True], np.diff(where) != 1])[: len(where)]
+            odd = (where - np.maximum.accumulate(np.where(run, where, 0))) & 1 == 0
+            where, which = where[odd], which[odd]
+            chosen.append((where, which))
+            near[where] = near[where + 1] = near[where + 2] = True
+            free = ~near[at + 1]
+            at, rank = at[free], rank[free]
+        at, rank = (np.concatenate(x) for x in zip(*chosen, strict=True))
+        order = np.argsort(at, kind="stable")
+        at, rank = at[order], rank[order]
+        # half the count is what a run of one symbol has room for
+        used = 2 * np.bincount(rank, minlength=len(pairs)) >= LEAST_COUNT
+        at, rank = at[used[rank]], rank[used[rank]]
+        symbols[at] = (np.cumsum(used) - 1 + (base + made))[rank]
+        live[at] = True
+        live[at[at > 0] - 1] = True
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         starts -= np.searchsorted(at + 1, starts)
-        symbols = symbols[keep]
+        symbols, live = symbols[keep], live[keep]
+        pairs = pairs[used]
         rules.append(np.stack([pairs >> two(bits), pairs & two((1 << bits) - 1)], 1).astype(np.int64))
+        known = np.concatenate(lengths)
+        lengths.append(known[rules[-1]].sum(axis=1))
         made += len(pairs)
     pair = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    length = np.ones(base + made, np.int64)
-    done = base
-    for r in rules:
-        length[done : done + len(r)] = length[r[:, 0]] + length[r[:, 1]]
-        done += len(r)
-    return symbols, starts, pair, length[base:]
+    return symbols, starts, pair, np.concatenate(lengths)[base:]
+
+
+def packed(symbols: np.ndarray, bits: int) -> bytes:
+    """The low 16 bits of each symbol, then a plane of one bit a symbol for each higher one."""
+    planes = [np.packbits((symbols >> k & 1).astype(np.uint8)).tobytes() for k in range(16, bits)]
+    return b"".join([symbols.astype("<u2").tobytes(), *planes])
 
 
 def write_payload(doc_ids: list[int], documents: list[np.ndarray], base: int) -> bytes:
     first = np.concatenate([[0], np.cumsum([len(d) for d in documents], dtype=np.int64)]).astype(np.int64)
     ids = np.concatenate(documents) if documents else np.zeros(0, np.uint32)
-    symbols, starts, pair, length = compress(ids, first, base)
-    width = 2 if base + len(pair) <= 1 << 16 else 4
-    head = np.array([base, len(pair), len(doc_ids), len(symbols), len(ids), width, 0], "<u8")
-    parts = [head, np.array(doc_ids, "<i8"), first.astype("<i8"), starts.astype("<i8"), pair.astype("<u4"), length.astype("<u4"), symbols.astype(f"<u{width}")]
-    return MAGIC + b"".join(p.tobytes() for p in parts)
+    symbols, starts, pair, _ = compress(ids, first, base)
+    bits = max(16, int(base + len(pair) - 1).bit_length())
+    head = np.array([base, len(pair), len(doc_ids), len(symbols), len(ids), bits, 0], "<u8")
+    parts = [head, np.array(doc_ids, "<i8"), first.astype("<i8"), starts.astype("<i8")]
+    return MAGIC + b"".join(p.tobytes() for p in parts) + packed(pair.ravel(), bits) + packed(symbols, bits)
 
 
 class ShardReader:
@@ -109,7 +138,7 @@ class ShardReader:
     def __init__(self, payload: bytes):
         if payload[: len(MAGIC)] != MAGIC:
             raise ValueError("not a token shard")
-        self.base, rules, docs, symbols, self.n_ids, width, _ = (int(x) for x in np.frombuffer(payload, "<u8", 7, len(MAGIC)))
+        self.base, rules, docs, symbols, self.n_ids, bits, _ = (int(x) for x in np.frombuffer(payload, "<u8", 7, len(MAGIC)))
         at = len(MAGIC) + 56
 
         def take(kind: str, n: int) -> np.ndarray:
@@ -118,21 +147,34 @@ class ShardReader:
             at += out.nbytes
             return out
 
+        def unpacked(n: int) -> np.ndarray:
+            low = take("<u2", n)
+            if bits == 16:
+                return low
+            out = low.astype(np.uint32)
+            for k in range(16, bits):
+                out |= np.unpackbits(take("u1", -(-n // 8)), count=n).astype(np.uint32) << np.uint32(k)
+            return out
+
         self.doc_ids, self.first, self.starts = take("<i8", docs), take("<i8", docs + 1), take("<i8", docs + 1)
-        self.pairs, self.lengths = take("<u4", 2 * rules).reshape(-1, 2), take("<u4", rules)
-        self.symbols = take(f"<u{width}", symbols)
-
-        # every symbol's ids, one after another: the base ids, then the rules unfolded until no rule is left in them
-        self._size = np.concatenate([np.ones(self.base, np.int64), self.lengths.astype(np.int64)])
-        self._at = np.cumsum(self._size) - self._size
-        flat = self.pairs.ravel().astype(np.int64)
-        while (rule := flat >= self.base).any():
-            at = np.cumsum(rule + 1) - (rule + 1)
-            wider = np.empty(len(flat) + int(rule.sum()), np.int64)
-            wider[at] = flat
-            wider[at[rule]], wider[at[rule] + 1] = self.pairs[flat[rule] - self.base].T
-            flat = wider
-        self._flat = np.concatenate([np.arange(self.base), flat]).astype("<u4")
+        self.pairs = unpacked(2 * rules).reshape(-1, 2)
+        self.symbols = unpacked(symbols)
+
+        # every symbol's ids, one after another: the base ids, then stretches of rules that hold no rule of their own stretch
+        self._size, self._at = np.ones(self.base + rules, np.int64), np.arange(self.base + rules)
+        flat, end = [np.arange(self.base, dtype="<u4")], self.base
+        newest = self.pairs.max(axis=1, initial=0)
+        done = 0
+        while done < rules:
+            own = newest[done:] >= self.base + done
+            stop = done + int(own.argmax()) if own.any() else rules
+            a, b = self.base + done, self.base + stop
+            self._size[a:b] = self._size[self.pairs[done:stop]].sum(axis=1)
+            self._at[a:b] = end + np.cumsum(self._size[a:b]) - self._size[a:b]
+            self._flat = np.concatenate(flat)
+            flat = [self._flat, self._expand(self.pairs[done:stop].ravel())]
+            done, end = stop, end + len(flat[1])
+        self._flat, self.lengths = np.concatenate(flat), self._size[self.base :]
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
         size = self._size[symbols]

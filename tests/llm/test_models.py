@@ -140,6 +140,22 @@ def test_models_are_the_same_each_time(module):
     assert np.allclose(whole, np.concatenate([module.score(a, texts[i : i + 7]) for i in range(0, 60, 7)]))
 
 
+def test_whole_words_and_borders_speak_for_toxicity():
+    rnd = random.Random(8)
+    ordinary = [prose(rnd, 60) for _ in range(200)]
+    toxic = [prose(rnd, 30) + " zyxwvut qqj kkv " + prose(rnd, 30) for _ in range(60)]
+    model = toxicity.fit(pd.DataFrame({"text": ordinary + toxic, "label": [0] * 200 + [1] * 60}).sample(frac=1, random_state=1))
+    clean = prose(rnd, 60)
+    of = lambda *more: toxicity.score(model, pa.array([clean + " " + m for m in more])).tolist()
+    none, plain, quoted, dashed, inverted, spaced, compound, unspaced = of("", "zyxwvut qqj kkv", "“zyxwvut” qqj kkv", "zyxwvut—qqj\xa0kkv", "¡zyxwvut! «qqj» kkv", "zyxwvut\u3000qqj kkv", "superzyxwvut", "日本語" * 20 + "zyxwvut" + "日本語" * 20)
+    assert plain == quoted == dashed == inverted == spaced > 0.5 > none
+    assert compound > none and unspaced > none
+    border = [p for p in model.pairs if p.runs]
+    assert border and border[0].differences["qqj kkv "[: toxicity.RUN].strip()] > 0
+    found, _ = toxicity.words("語" * 100)
+    assert sum(found.values()) >= 100 // toxicity.STRETCH
+
+
 def test_other_columns_pass_through_scoring(spark):
     docs = spark.createDataFrame([(1, "a b c", "x", 2.0)], "doc_id long, text string, doc string, score double")
     model = quality_model.fit(pd.DataFrame({"text": [], "label": []}))

@@ -5,7 +5,8 @@ be equal if the same GRAM-byte part of theirs is the least by hash (their anchor
 window of LENGTH bytes belongs to one anchor, and only windows whose anchors occur twice are sorted, an
 anchor's windows in one place. There the difference-cover algorithm sorts them: triples at two of three
 places are named, the names' own suffix array is made recursively, the remaining suffixes are merged in, and
-adjacent prefixes of LENGTH bytes are compared. Nothing is lost by this, whatever the hashes.
+adjacent prefixes of LENGTH bytes are compared. No repeat is lost by this, whatever the hashes; but anchors'
+surroundings of equal 64-bit hashes are taken as equal without comparing bytes.
 
 Documents travel as slices: compressed Arrow batches of about SLICE_BYTES of text, written once. What is
 found about a slice comes back to it as bit masks.

@@ -140,6 +140,17 @@ def test_models_are_the_same_each_time(module):
     assert np.allclose(whole, np.concatenate([module.score(a, texts[i : i + 7]) for i in range(0, 60, 7)]))
 
 
+def test_words_of_one_slot_keep_their_vectors():
+    words = [f"w{chr(97 + k // 676)}{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}" for k in range(3000)]
+    model = quality_model.fit(pd.DataFrame({"text": [" ".join(words)] * 4, "label": [0, 1, 0, 1]}))
+    hashes, kinds, _ = next(quality_model._stream(pa.array([" ".join(words)], pa.large_string())))
+    ids = quality_model._lookup(model.slots, model.ids, hashes, kinds)
+    assert len(set(quality_model._slot(hashes).tolist())) < 3000 and sorted(ids) == list(range(quality_model._OTHERS, quality_model._OTHERS + 3000))
+    full = hashes[:1] + np.arange(5, dtype=np.uint64)  # one slot
+    slots, places = quality_model._placed(full[:4])
+    assert quality_model._lookup(slots, places, full, np.zeros(5, np.int8)).tolist() == [*range(quality_model._OTHERS, quality_model._OTHERS + 4), 0]
+
+
 def test_whole_words_and_borders_speak_for_toxicity():
     rnd = random.Random(8)
     ordinary = [prose(rnd, 60) for _ in range(200)]

@@ -71,9 +71,30 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(46)).astype(np.int64)
 
 
+def _placed(top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, ids) of distinct hashes: each is in its slot or, where that is taken, in the next free one."""
+    slots, ids = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.int64)
+    for k, (h, slot) in enumerate(zip(top, _slot(top).tolist(), strict=True)):
+        while slots[slot]:
+            slot = (slot + 1) % _SLOTS
+        slots[slot], ids[slot] = h, k + _OTHERS
+    return slots, ids
+
+
 def _lookup(slots: np.ndarray, ids: np.ndarray, hashes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     slot = _slot(hashes)
-    return np.where(slots[slot] == hashes, ids[slot], kinds)
+    held = slots[slot]
+    out = np.where(held == hashes, ids[slot], kinds)
+    at = np.flatnonzero((held != hashes) & (held != 0))
+    slot = slot[at]
+    while len(at):
+        slot = (slot + 1) % _SLOTS
+        held = slots[slot]
+        found = held == hashes[at]
+        out[at[found]] = ids[slot[found]]
+        on = ~found & (held != 0)
+        at, slot = at[on], slot[on]
+    return out
 
 
 def _with_repeats(ids: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,8 +132,7 @@ def fit(data: pd.DataFrame, seed: int = 11) -> Model:
     every = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
     seen, count = np.unique(every, return_counts=True)
     top = np.sort(seen[np.argsort(-count, kind="stable")][: int(min(VOCABULARY, (count >= 3).sum()))])
-    slots, ids = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.int64)
-    slots[_slot(top)], ids[_slot(top)] = top, np.arange(len(top)) + _OTHERS
+    slots, ids = _placed(top)
     size = len(top) + _OTHERS
     places, signs = rng.integers(0, DIMENSIONS, (size, NONZERO)), rng.choice([-1.0, 1.0], (size, NONZERO))
     vectors = np.zeros(size * DIMENSIONS)

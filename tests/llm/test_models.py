@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.helpers import SCHEMA, documents, empty, odd_texts
 from tetraspark.llm import htmltext, labelled, quality_model, quality_rules, toxicity
+from tetraspark.llm.rules_sql import rules_sql
 from tetraspark.llm.scratch import Scratch
 from tetraspark.llm.tables import table
 
@@ -83,6 +85,25 @@ def test_divergence_from_the_language(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows + rare[:2]}
 
 
+def test_every_common_word_is_counted(spark):
+    """Texts of the last words of the list alone diverge from a language without them."""
+    late = quality_rules.COMMON[64:]
+    assert len(set(map(quality_rules._sign, range(len(quality_rules.COMMON))))) == len(quality_rules.COMMON)
+    rnd = random.Random(6)
+    invented = lambda n: " ".join("".join(rnd.choice("abcdefghilmnor") for _ in range(rnd.randint(6, 9))) for _ in range(n))
+    rows = [(k, " ".join(f"{rnd.choice(late)} {invented(2)}" for _ in range(100)), "es", "s", 1) for k in range(12)] + [(99, invented(300), "es", "s", 1)]
+    docs = spark.createDataFrame(rows + [(200, " ".join(quality_rules.COMMON).upper() + " " + " ".join(quality_rules.COMMON[::2]), "es", "s", 1)], SCHEMA)
+    found = {r["doc"]["doc_id"]: r["common_hist"] for r in quality_rules.features(docs).collect()}
+    for k, text, *_ in rows:
+        assert found[k] == histograms(text)[1]
+    assert found[200][:-1] == [1 + (k % 2 == 0) for k in range(len(quality_rules.COMMON))]
+    kept = {r["key"]: r["kept"] for r in quality_rules.judged(docs, Scratch(spark, "t")).collect()}
+    assert not kept[99] and all(kept[k] for k in range(12))
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert {r[0]: r[1] for r in con.execute(f"SELECT doc_id, kept FROM ({rules_sql()})").fetchall()} == kept
+
+
 def test_rules_run_no_python(spark):
     plan = quality_rules.judged(documents(spark, ["a b c"]), Scratch(spark, "t"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -8,12 +8,15 @@ its histogram to mean something.
 
 from __future__ import annotations
 
+import zlib
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-# Frequent words of English, German, French and Spanish.
+# Frequent words of English, German, French and Spanish.
 COMMON_WORDS = (
     "the of and to in is that it for was on are with as be at by this from or "
     "der die das und den von zu mit sich des auf für ist im dem nicht ein eine als auch "
@@ -36,6 +39,21 @@ _CLASSES = (r"\p{Lu}+", r"\p{Nd}+", r"""[.,;:!?'"()\-]+""", r"[#*$%&|<>]+")
 _BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def _slots() -> list[str]:
+    """COMMON in a table where each word's crc32 leads to a slot of its own: its sign (`_sign`) and the word."""
+    codes = [zlib.crc32(w.encode()) for w in COMMON]
+    size = next(n for n in count(len(COMMON)) if len({c % n for c in codes}) == len(codes))
+    out = [""] * size
+    for k, (c, w) in enumerate(zip(codes, COMMON, strict=True)):
+        out[c % size] = _sign(k) + w
+    return out
+
+
+def _sign(k: int) -> str:
+    """One printable character of ASCII for each common word, but no quote or backslash."""
+    return [chr(c) for c in range(33, 127) if chr(c) not in "'\\"][k]
+
+
 def _cut(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
@@ -44,7 +62,7 @@ def features(docs: DataFrame, text_col: str = "text", lang_col: str | None = "la
     """docs' columns in the struct `doc`, with the counts, class_hist and common_hist beside it.
 
     n_repeat_words: the 3-word windows, as (hash, place) sorted, show which places hold a window that occurs
-    again; each such place covers three words, less what the next one covers too.
+    again, by its words; each such place covers three words, less what the next one covers too.
     """
     doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
     lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
@@ -52,21 +70,28 @@ def features(docs: DataFrame, text_col: str = "text", lang_col: str | None = "la
     df = df.withColumn("bare", F.regexp_replace("body", _SPACE, "")).withColumn("words", F.array_remove(F.split("body", _SPACE), ""))
     df = df.withColumn("lines", F.filter(F.split("body", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).withColumn("rest", F.regexp_replace("bare", r"\p{Ll}+", ""))
     df = df.withColumn("n_words", F.size("words").cast("long")).withColumn("word_chars", F.length("bare").cast("long"))
-    windows = F.expr("""if(size(words) < 3, cast(array() as array<struct<h:bigint,i:int>>),
-        array_sort(transform(slice(words, 1, greatest(size(words) - 2, 0)), (w, i) -> named_struct('h', xxhash64(w, words[i + 1], words[i + 2]), 'i', i))))""")
-    df = df.withColumn("windows", windows)
-    df = df.withColumn("again", F.expr("""array_sort(array_distinct(flatten(transform(
-        filter(zip_with(slice(windows, 1, greatest(size(windows) - 1, 0)), slice(windows, 2, greatest(size(windows) - 1, 0)), (a, b) -> named_struct('same', a.h = b.h, 'i', a.i, 'j', b.i)), x -> x.same),
+    df = df.withColumn("hashes", F.expr("""if(size(words) < 3, cast(array() as array<bigint>),
+        transform(slice(words, 1, greatest(size(words) - 2, 0)), (w, i) -> xxhash64(w, words[i + 1], words[i + 2])))"""))
+    # most texts repeat no window; sort_array compares without a function in SQL
+    df = df.withColumn("windows", F.expr("""if(size(array_distinct(hashes)) = size(hashes), cast(array() as array<struct<h:bigint,i:int>>),
+        sort_array(transform(hashes, (h, i) -> named_struct('h', h, 'i', i))))"""))
+    df = df.withColumn("again", F.expr("""sort_array(array_distinct(flatten(transform(
+        filter(zip_with(slice(windows, 1, greatest(size(windows) - 1, 0)), slice(windows, 2, greatest(size(windows) - 1, 0)),
+            (a, b) -> if(a.h = b.h, named_struct('i', a.i, 'j', b.i), null)),
+            x -> x is not null and words[x.i] = words[x.j] and words[x.i + 1] = words[x.j + 1] and words[x.i + 2] = words[x.j + 2]),
         x -> array(x.i, x.j)))))"""))
     df = df.withColumn("n_repeat_words", F.expr("""if(size(again) = 0, 0L, 3L + aggregate(
         zip_with(slice(again, 1, greatest(size(again) - 1, 0)), slice(again, 2, greatest(size(again) - 1, 0)), (a, b) -> cast(least(3, b - a) as bigint)), 0L, (s, x) -> s + x))"""))
     df = df.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
     counts = [_cut(F.col("rest"), p) for p in _CLASSES]
     df = df.withColumn("classes", F.array(F.col("word_chars").cast("int") - F.length("rest"), *counts))
-    listed = "array(" + ",".join(f"'{w}'" for w in COMMON) + ")"
-    # a character for each common word, to be counted
-    df = df.withColumn("coded", F.expr(f"array_join(transform(filter(words, w -> length(w) <= {max(map(len, COMMON))} and array_contains({listed}, lower(w))), w -> chr(191 + cast(array_position({listed}, lower(w)) as int))), '')"))
-    found = [(F.length("coded") - F.length(F.replace(F.col("coded"), F.lit(chr(192 + k))))).cast("double") for k in range(len(COMMON))]
+    slots = _slots()
+    table = "array(" + ",".join(f"'{x}'" for x in slots) + ")"
+    # of each common word its sign
+    df = df.withColumn("coded", F.expr(f"""array_join(transform(
+        transform(transform(filter(words, w -> length(w) <= {max(map(len, COMMON))}), w -> lower(w)), w -> named_struct('w', w, 's', {table}[pmod(crc32(w), {len(slots)})])),
+        x -> if(substring(x.s, 2) = x.w, left(x.s, 1), '')), '')"""))
+    found = [(F.length("coded") - F.length(F.replace(F.col("coded"), F.lit(_sign(k))))).cast("double") for k in range(len(COMMON))]
     other_class = (F.col("word_chars") - F.aggregate("classes", F.lit(0), lambda a, x: a + x)).cast("double")
     return df.select(
         "doc", "lang", "n_words", "word_chars", F.element_at("classes", 5).cast("long").alias("n_symbols"), "n_dup_lines", "n_repeat_words",

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
 from tests.llm.helpers import components, documents, empty, odd_texts, shingles
-from tetraspark.llm import fingerprints, lsh, neardup, suffixdup, textkit
+from tetraspark.llm import fingerprints, lsh, neardup, skew, suffixdup, textkit
 from tetraspark.llm.scratch import Scratch
 
 
@@ -70,12 +71,72 @@ def test_classes_equal_brute_force(spark, operator, words):
 def test_blocks_find_what_the_star_misses(spark, monkeypatch):
     """With blocks of a few rows every pair is still met."""
     monkeypatch.setattr(lsh, "BLOCK_SHINGLES", 300)
-    monkeypatch.setattr(lsh, "BLOCK_ROWS", 3)
     texts = families(7, 5, 40)
     found = {r[0]: r[2] for r in neardup.near_duplicates(documents(spark, texts), Scratch(spark, "t"), words=3).collect()}
     assert [found[k] for k in range(len(texts))] == components(texts, 3)
 
 
+def test_different_words_are_never_equal():
+    """Neither strings that agree under polynomial hashes, nor words whose hashes are made to agree."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    x, y = textkit.exact_sets([a.encode(), b.encode()], 4)
+    assert len(np.intersect1d(x, y)) == 0 and not np.intersect1d(*lsh.sets_of(pa.array([a, b]), 4)).size
+    words = textkit.Words(np.frombuffer(b"one two three one tw", np.uint8), np.array([0, 20]), False)
+    words.bytes.hashes = lambda start, end: np.zeros(len(start), np.uint64)
+    assert words.bytes.names(words.start, words.end).tolist() == [1, 2, 3, 1, 4]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab é"), max_size=400), min_size=1, max_size=6), st.integers(1, 6))
+def test_exact_sets_are_shingles(texts, k):
+    found = textkit.exact_sets([x.tobytes() for w, n in lsh._texts(pa.array(texts)) for b, at in [w.sequences()] for x in np.split(b, at[1:-1])], k)
+    for a, x in zip(texts, found, strict=True):
+        for b, y in zip(texts, found, strict=True):
+            assert len(np.intersect1d(x, y)) == len(shingles(a, k) & shingles(b, k)) and len(x) == len(shingles(a, k))
+
+
+def test_documents_of_one_word_are_told_apart(spark):
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    found = neardup.near_duplicates(documents(spark, [a, b, a.upper()]), Scratch(spark, "t"), words=4).collect()
+    assert {r["doc_id"]: (r["component_id"], r["kept"]) for r in found} == {0: (0, True), 1: (1, True), 2: (0, False)}
+
+
+def test_a_block_of_copies_has_a_forest_of_links():
+    """2,000 near copies that all failed at their home."""
+    rnd = random.Random(3)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*base, f"x{rnd.randrange(10**6)}"]).encode() for _ in range(2000)]
+    rows = [{"key": k, "home": 0, "part": k, "words": t, "role": role} for k, t in enumerate(texts) for role in (0, 1)]
+    found = lsh._links(pd.DataFrame(rows), 5, 80, False)
+    assert len(found) == 1999 and set(found["u"]) | set(found["v"]) == set(range(2000))
+    apart = pd.DataFrame(rows).assign(part=lambda x: x["key"] % 2, home=lambda x: x["key"])
+    assert len(lsh._links(apart, 5, 80, True)) == 1
+
+
+def test_hot_keys_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST", 10)
+    monkeypatch.setattr(skew, "SHARE", 20)
+    rows = spark.createDataFrame([(1 if k % 3 else k, k) for k in range(600)], "k long, v long")
+    other = spark.createDataFrame([(k, -k) for k in range(300)], "k long, w long")
+    hot = skew.hot_keys(rows, "k")
+    assert hot == [(1, 14)] and skew.hot_of(rows.groupBy("k").agg(F.count("*").alias("n")), "k") == hot
+    for how in ("inner", "left"):
+        wanted = sorted(map(tuple, rows.join(other, "k", how).collect()), key=str)
+        assert sorted(map(tuple, skew.spread_join(rows, other, "k", "v", how).collect()), key=str) == wanted
+    assert skew.spread_join(rows.limit(0), other, "k", "v").count() == 0
+
+
+def test_classes_with_hot_keys_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST", 3)
+    texts = families(11, 4, 60)
+    found = {r[0]: r[2] for r in neardup.near_duplicates(documents(spark, texts), Scratch(spark, "t"), words=3).collect()}
+    assert [found[k] for k in range(len(texts))] == components(texts, 3)
+
+
 def test_components_follow_chains(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 101), (205, 203), (203, 207)]
     found = dict(map(tuple, lsh.components(spark.createDataFrame(chain, "u long, v long"), Scratch(spark, "t"), "c").collect()))
@@ -170,6 +231,25 @@ def test_repeats_equal_brute_force(spark, monkeypatch, seed, buckets_bytes, slic
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
 
 
+@pytest.mark.parametrize("codes", ["equal", "apart"])
+def test_bytes_decide_where_hashes_do_not(codes, monkeypatch):
+    """Contexts of one anchor whose hashes all agree, and whose hashes all differ."""
+    rnd, n = random.Random(9), 60
+    anchor = b"x" * 40
+    sides = [bytes(rnd.choice(b"ab") for _ in range(60)) for _ in range(4)]
+    bodies = [rnd.choice(sides) + anchor + rnd.choice(sides) for _ in range(n)]
+    seen, wanted = set(), []
+    for b in bodies:
+        found = [b[i : i + 100] for i in range(61)]
+        wanted.append(sum(1 << i for i, w in enumerate(found) if (i, w) in seen))
+        seen.update(enumerate(found))
+    code = np.zeros(n, np.uint64) if codes == "equal" else np.arange(n, dtype=np.uint64)
+    same = np.full(n, 160)
+    monkeypatch.setattr(suffixdup, "SORTED_BYTES", 1000)
+    masks = suffixdup._settle(np.zeros(n, np.uint64), code, np.arange(n), np.full(n, 60), same, textkit.Bytes(np.frombuffer(b"".join(bodies), np.uint8)), np.arange(n) * 160)
+    assert masks.tolist() == wanted
+
+
 def test_repeats_of_awkward_tables(spark):
     assert suffixdup.digest(empty(spark), Scratch(spark, "t")).count() == 0
     long = "".join(chr(97 + k % 23) + str(k) for k in range(80))

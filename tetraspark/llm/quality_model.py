@@ -52,7 +52,7 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     upper = np.concatenate([[0], np.cumsum(_UPPER[buf])])
     capitals = (upper[end] - upper[start] >= 2) & (upper[end] - upper[start] == end - start)
     kinds = np.where(capitals, 1, np.where(kind[start] == 1, 0, kind[start] - 1)).astype(np.int8)
-    hashes = textkit.RangeHash(buf, lower=True).of(start, end) + capitals.astype(np.uint64)
+    hashes = textkit.Bytes(buf, lower=True).hashes(start, end) + capitals.astype(np.uint64)
     return hashes, kinds, np.searchsorted(start, offsets)
 
 

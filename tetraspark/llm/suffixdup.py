@@ -5,8 +5,8 @@ be equal if the same GRAM-byte part of theirs is the least by hash (their anchor
 window of LENGTH bytes belongs to one anchor, and only windows whose anchors occur twice are sorted, an
 anchor's windows in one place. There the difference-cover algorithm sorts them: triples at two of three
 places are named, the names' own suffix array is made recursively, the remaining suffixes are merged in, and
-adjacent prefixes of LENGTH bytes are compared. No repeat is lost by this, whatever the hashes; but anchors'
-surroundings of equal 64-bit hashes are taken as equal without comparing bytes.
+adjacent prefixes of LENGTH bytes are compared. Surroundings of an anchor that are equal as a whole don't go
+through the sort again: one stands for all. Hashes only say what to compare: equality is decided on bytes everywhere.
 
 Documents travel as slices: compressed Arrow batches of about SLICE_BYTES of text, written once. What is
 found about a slice comes back to it as bit masks.
@@ -120,11 +120,11 @@ class Slice:
         size = np.diff(self.offsets)
         self.doc = np.zeros(0, np.int64)
         self.first = self.last = self.anchor = np.zeros(0, np.int64)
-        self.value = np.zeros(0, np.uint64)
+        self.value = self.code = np.zeros(0, np.uint64)
         if n >= LENGTH:
-            self._hash = textkit.RangeHash(buf)
-            place = np.arange(n - GRAM + 1)
-            value = self._hash.of(place, place + GRAM)
+            place, eights = np.arange(n - GRAM + 1), textkit.Bytes(buf).eights.copy()
+            value = textkit.mix(sum(eights[j : j + len(place)] * textkit.STEP[j // 8] for j in range(0, GRAM, 8)))
+            del eights
             # the least hash of the next REACH places, of equal ones the first: 32 bits of hash before the place
             least = (value & ~np.uint64(0xFFFFFFFF)) | place.astype(np.uint64)
             width = 1
@@ -143,10 +143,16 @@ class Slice:
                 lead = np.concatenate([[0], cut])
                 self.first, self.last, self.anchor, self.doc = start[lead], start[np.append(cut, len(start)) - 1], anchor[lead], doc[lead]
                 self.value = value[self.anchor]
+                # windows of an anchor cover less than four grams
+                end, turn = self.last + LENGTH - GRAM, np.uint64(0x9E3779B97F4A7C15)
+                code = (end - self.first).astype(np.uint64) + (self.anchor - self.first).astype(np.uint64) * turn
+                for at in (self.first, self.first + GRAM, end - GRAM, end):
+                    code = textkit.mix((code ^ value[at]) * turn)
+                self.code = code
         # anchors in the order of their buckets and values, the same whenever the slice is read
         self.bucket = (self.value % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((self.value, self.bucket))
-        for name in ("doc", "first", "last", "anchor", "value", "bucket"):
+        for name in ("doc", "first", "last", "anchor", "value", "code", "bucket"):
             setattr(self, name, getattr(self, name)[order])
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -170,13 +176,33 @@ class Slice:
         keys = self.keys()
         if not len(at):
             return at, np.zeros(0, np.uint64), np.zeros(0, bool), keys
-        code = self._hash.of(self.first[at], self.last[at] + LENGTH) + (self.anchor[at] - self.first[at]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        code, size = self.code[at], self.last[at] - self.first[at] + LENGTH
         rank = np.empty(len(keys[0]), np.int64)
         rank[np.lexsort((np.arange(len(keys[0])), keys[1], keys[0]))] = np.arange(len(keys[0]))
         order = np.lexsort((self.first[at], rank[self.doc[at]], code, self.value[at], self.bucket[at]))
-        at, code = at[order], code[order]
-        lead = np.concatenate([[True], (code[1:] != code[:-1]) | (self.value[at][1:] != self.value[at][:-1])])
-        return at, code, lead, keys
+        at, code, size = at[order], code[order], size[order]
+        order, lead = _first_of_equal(self.value[at], code, size, textkit.Bytes(self.buf), self.first[at])
+        return at[order], code[order], lead, keys
+
+
+def _first_of_equal(value: np.ndarray, code: np.ndarray, size: np.ndarray, text: textkit.Bytes, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which contexts of equal bytes stand together, and which of them then is the first of equal ones.
+
+    Contexts come sorted by (value, code, place). Equal hashes only say where to compare bytes; where those
+    differ, contexts of the same hashes are sorted by their bytes, too.
+    """
+    order = np.arange(len(value))
+    lead = np.concatenate([[True], (value[1:] != value[:-1]) | (code[1:] != code[:-1])])
+    b = np.flatnonzero(~lead)
+    if not (size[b - 1] == size[b]).all() or not text.equal(start[b - 1], start[b], size[b]).all():
+        body = lambda i: text.buf[start[i] : start[i] + size[i]].tobytes()
+        cuts = np.append(np.flatnonzero(lead), len(lead))
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            if y - x > 1:
+                run = sorted((body(i), i) for i in range(x, y))
+                order[x:y] = [i for _, i in run]
+                lead[x + 1 : y] = [p[0] != q[0] for p, q in zip(run, run[1:], strict=False)]
+    return order, lead
 
 
 def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -243,16 +269,18 @@ def contexts_of(slices: DataFrame, buckets: int) -> DataFrame:
     return slices.mapInPandas(run, "bucket int, slice long, n int, rows binary, bytes binary")
 
 
-def _settle(value, code, order, shift, size, texts) -> np.ndarray:
+def _settle(value, code, order, shift, size, text: textkit.Bytes, start) -> np.ndarray:
     """For each context a 64-bit mask of its windows that start earlier elsewhere.
 
-    Contexts come sorted by (value, code, order); order: the place of each context's document and start.
+    Contexts come sorted by (value, code, order); order: the place of each context's document and start. A
+    context's bytes are those of text from start on.
     """
     n = len(value)
+    by, lead = _first_of_equal(value, code, size, text, start)
+    value, order, shift, size, start = value[by], order[by], shift[by], size[by], start[by]
     out = np.zeros(n, np.uint64)
     windows = size - LENGTH + 1
     whole = np.where(windows >= 64, ~np.uint64(0), (np.uint64(1) << windows.astype(np.uint64)) - np.uint64(1))
-    lead = np.concatenate([[True], (value[1:] != value[:-1]) | (code[1:] != code[:-1])])
     out[~lead] = whole[~lead]
     # anchors with several different contexts
     kept = np.flatnonzero(lead)
@@ -267,22 +295,18 @@ def _settle(value, code, order, shift, size, texts) -> np.ndarray:
         while b < len(kept) and group[b] == group[b - 1]:
             b += 1
         part = kept[a:b]
-        text = np.concatenate([texts[i] for i in part])
         at = np.cumsum(size[part]) - size[part]
-        owner = np.full(len(text), -1, np.int32)
+        joined = textkit.Bytes(text.buf[np.repeat(start[part] - at, size[part]) + np.arange(size[part].sum())])
+        owner = np.full(joined.size, -1, np.int32)
         owner[np.repeat(at - (np.cumsum(windows[part]) - windows[part]), windows[part]) + np.arange(windows[part].sum())] = np.repeat(np.arange(len(part)), windows[part])
-        suffixes = suffix_array(text)
+        suffixes = suffix_array(joined.buf[: joined.size])
         suffixes = suffixes[owner[suffixes] >= 0]
         own = owner[suffixes]
         # adjacent prefixes of LENGTH bytes, and the same place of the anchor in them
-        hashed = textkit.RangeHash(text).of(suffixes, suffixes + LENGTH)
         place = shift[part][own] - (suffixes - at[own])
-        same = (hashed[1:] == hashed[:-1]) & (place[1:] == place[:-1])
+        same = place[1:] == place[:-1]
         maybe = np.flatnonzero(same)
-        view = np.lib.stride_tricks.sliding_window_view(text, LENGTH)
-        for c in range(0, len(maybe), 20_000):
-            i = maybe[c : c + 20_000]
-            same[i] = (view[suffixes[i]] == view[suffixes[i + 1]]).all(axis=1)
+        same[maybe] = joined.equal(suffixes[maybe], suffixes[maybe + 1], np.full(len(maybe), LENGTH))
         run = np.concatenate([[0], np.cumsum(~same)])
         when = order[part][own]
         first = np.full(run[-1] + 1, np.iinfo(np.int64).max)
@@ -290,7 +314,9 @@ def _settle(value, code, order, shift, size, texts) -> np.ndarray:
         late = when > first[run]
         np.bitwise_or.at(out, part[own[late]], np.uint64(1) << (suffixes[late] - at[own[late]]).astype(np.uint64))
         a = b
-    return out
+    back = np.empty(n, np.uint64)
+    back[by] = out
+    return back
 
 
 def later_windows(contexts: DataFrame) -> DataFrame:
@@ -301,10 +327,8 @@ def later_windows(contexts: DataFrame) -> DataFrame:
         pdf = pdf.sort_values("slice").reset_index(drop=True)
         tables = [np.frombuffer(unpack(x), np.int64).reshape(7, -1) for x in pdf["rows"]]
         value, code, ids, ties, first, shift, size = np.concatenate(tables, axis=1)
-        texts, bodies = [], [np.frombuffer(unpack(x), np.uint8) for x in pdf["bytes"]]
-        for table, body in zip(tables, bodies, strict=True):
-            ends = np.cumsum(table[6])
-            texts += [body[e - n : e] for e, n in zip(ends, table[6], strict=True)]
+        text = textkit.Bytes(np.concatenate([np.frombuffer(unpack(x), np.uint8) for x in pdf["bytes"]]))
+        start = np.cumsum(size) - size
         count = pdf["n"].to_numpy()
         # rows of equal id and text stand as they were read
         placed = np.lexsort((np.arange(len(ids)), first, np.repeat(np.arange(len(pdf)), count), ties, ids))
@@ -312,7 +336,7 @@ def later_windows(contexts: DataFrame) -> DataFrame:
         order[placed] = np.arange(len(ids))
         by = np.lexsort((order, code, value))
         masks = np.empty(len(ids), np.uint64)
-        masks[by] = _settle(value[by], code[by], order[by], shift[by], size[by], [texts[i] for i in by])
+        masks[by] = _settle(value[by], code[by].view(np.uint64), order[by], shift[by], size[by], text, start[by])
         ends = np.cumsum(count)
         out = pd.DataFrame({"slice": pdf["slice"], "bucket": pdf["bucket"], "windows": [masks[e - n : e].tobytes() for e, n in zip(ends, count, strict=True)]})
         release()

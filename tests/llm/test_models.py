@@ -4,6 +4,7 @@ import html
 import pickle
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -218,6 +219,45 @@ def test_field_on_pages_it_did_not_see():
     assert wrong / total < 0.02
 
 
+BOXES = (
+    "<header>", "<footer>", "<aside>", "<form>", "<nav>", '<div class="ad">', '<div class="sidebar">', '<section class="comments">', '<div class="notice">', '<div id="cookie-banner">',
+    '<div class="advert box">', '<div class="newsletter">', '<div class="comment">',
+)
+
+
+@pytest.mark.parametrize("main", ["<article>", '<div class="content">', "<main>", '<div id="main-content">', '<section class="story">'])
+def test_prose_outside_the_article_goes(main):
+    """Two paragraphs as long as the article's own, in each part that isn't the article's, before, in and after it."""
+    other = "Readers of this page may find that the paragraph goes on for a while, as prose does, and ends with a full stop."
+    own = [
+        "The title of the story", "First of all, the story begins with a long sentence about the river and the town beside it.",
+        "It goes on with another one, which is about as long and just as plain as the first was.", "And here it ends, some three paragraphs later, without any further surprise.",
+    ]
+    ends = lambda tag: f"</{re.match('<([a-z]+)', tag)[1]}>"
+    for box in BOXES:
+        extra = f"{box}<p>{other}</p><p>{other}</p>{ends(box)}"
+        for place in range(4):
+            parts = [extra if place == k + 1 and k < 2 else "" for k in range(3)]
+            story = f"<h1>{own[0]}</h1>" + "".join(f"{x}<p>{p}</p>" for x, p in zip(parts, own[1:], strict=True))
+            page = f"<html><head><title>t</title></head><body>{extra if place == 0 else ''}{main}{story}{ends(main)}{extra if place == 3 else ''}</body></html>"
+            assert htmltext.main_text(htmltext.trained(), page).split("\n\n") == own, (box, place)
+
+
+@pytest.mark.parametrize("piece, end", [("<p x=", ""), ('<p x="', ">"), ('<p x=">"', ""), ("<svg>", ""), ("<!", ""), ("<!--", ""), ("<script ", ">"), ("<p '", '">'), ("</svg", ""), ("<noscript></noscript ", ""), ('<a href="x>y', ""), ("&am<b></b>", ""), ("<", "")])
+def test_markup_that_never_ends(piece, end):
+    began = time.process_time()
+    htmltext.blocks(piece * 100_001 + end)
+    assert time.process_time() - began < 10
+
+
+def test_odd_markup():
+    of = lambda page: [b.text for b in htmltext.blocks(page)]
+    assert of("<p>&am<b></b>p; &lt;i&gt;</p>") == ["&amp; <i>"]
+    assert of("<p>a<svg>b<p>c<video>d</video><math>e</math><object>f</object><script>g<p>h") == ["a b", "cdef"]
+    assert of('<p title="5" disc">one</p><p x="a>b">two<p y="open>three</p>four') == ["one", "two", "three", "four"]
+    assert of("a < b and c< d <p>e") == ["a < b and c< d", "e"] and of("<![CDATA[x &amp; y]]><br/>z<!-- never") == ["x &amp; y z"]
+
+
 def test_viterbi_finds_the_best_path():
     field, rng = htmltext.Field({"a": 0, "b": 1, "c": 2}, np.array([[1.0, -0.5], [-0.3, 0.9], [0.2, 0.1]]), np.array([[0.6, -0.9], [-0.2, 0.5]])), random.Random(1)
     for _ in range(40):

@@ -22,21 +22,92 @@ from pyspark.sql import types as T
 
 from .memory import tidy
 
-# Block-level elements, elements whose contents aren't text, and elements without an end.
+# Block-level elements, elements whose contents aren't text, those whose contents go on to the end of
+# the page where no end tag follows, and elements without an end.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table "
     "tbody td textarea tfoot th thead title tr ul".split()
 )
-SKIPPED_TAGS = frozenset("script style noscript template iframe svg math canvas audio video object applet noembed noframes".split())
+SKIPPED_TAGS = frozenset("script style noscript template iframe svg noembed noframes".split())
+RAW_TAGS = frozenset("script style".split())
 EMPTY_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Start tags that end an open element of their own kind.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: What follows a tag's name. Quotes count only after an equals sign, and those that don't close only for themselves.
+_REST = re.compile(r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+>""")
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in SKIPPED_TAGS}
+
+# Tags and names that page authors commonly give to parts of a page.
+ASIDE_TAGS = frozenset("nav header footer aside form menu dialog".split())
+MAIN_TAGS = frozenset("article main".split())
+ASIDE_NAMES = (
+    "nav navbar navigation menu header masthead topbar banner footer bottom copyright sidebar side aside rail widget related recommended "
+    "popular trending ad ads advert advertisement adslot sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay "
+    "comment comments reply replies respond disqus discussion form newsletter subscribe signup login search breadcrumb breadcrumbs share sharing social "
+    "tags pagination pager toolbar skip hidden legal disclaimer"
+).split()
+MAIN_NAMES = "article content main post entry body story text page maincontent bodytext articlebody".split()
+_ASIDE, _MAIN = frozenset(ASIDE_NAMES) | {"!hidden"}, frozenset(MAIN_NAMES)
+
+
+def _part(tag: str, names: frozenset[str]) -> str:
+    """The part of a page that an element says it is, or nothing."""
+    aside, main = tag in ASIDE_TAGS or bool(names & _ASIDE), tag in MAIN_TAGS or bool(names & _MAIN)
+    return "both" if aside and main else "aside" if aside else "main" if main else ""
+
+
+def _markup(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, rest) of a page's pieces: kind is text, plain (not to be decoded), start or end. Takes time in proportion to the page."""
+    at, size, last = 0, len(page), page.rfind(">")
+    endless: set[str] = set()  # elements that no end tag follows any more
+    quoted = True
+    while at < size:
+        sign = page.find("<", at)
+        if sign < 0 or sign > last:  # no tag ends after this
+            if (open_comment := page.find("<!--", at)) >= 0:
+                yield "text", "", page[at:open_comment]
+            else:
+                yield "text", "", page[at:]
+            return
+        if sign > at:
+            yield "text", "", page[at:sign]
+        if page.startswith("<!--", sign):
+            end = page.find("-->", sign + 4)
+            at = size if end < 0 else end + 3
+            continue
+        if page.startswith("<![CDATA[", sign):
+            end = page.find("]]>", sign)
+            yield "plain", "", page[sign + 9 : size if end < 0 else end]
+            at = size if end < 0 else end + 3
+            continue
+        if page[sign + 1 : sign + 2] in ("!", "?"):
+            at = page.find(">", sign) + 1
+            continue
+        name = _NAME.match(page, sign + 1)
+        if not name:
+            yield "text", "", "<"
+            at = sign + 1
+            continue
+        rest = _REST.match(page, name.end()) if quoted else None
+        quoted = rest is not None  # from here on every > is within quotes: they count for nothing
+        at = rest.end() if rest else page.find(">", name.end()) + 1
+        tag = name[2].lower()
+        inside = page[name.end() : at - 1]
+        yield "end" if name[1] else "start", tag, inside
+        if not name[1] and tag in SKIPPED_TAGS and not inside.rstrip().endswith("/"):
+            end = None if tag in endless else _END[tag].search(page, at)
+            if end:
+                at = page.find(">", end.end()) + 1 or size
+            elif tag in RAW_TAGS:
+                at = size
+            else:
+                endless.add(tag)
 
 
 @dataclass
@@ -46,24 +117,27 @@ class Block:
     tags: frozenset[str]
     names: frozenset[str]
     near: frozenset[str]
+    part: str
+    asides: int
     link_share: float
 
 
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order, character references decoded and white space made single."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[tuple[str, frozenset[str], str]] = []
     held: list[str] = []
     linked = links = 0
-    at, end = 0, len(page)
 
     def close() -> None:
         nonlocal linked
-        text = " ".join(entities.unescape("".join(held)).split())
+        text = " ".join("".join(held).split())
         if text:
-            names = frozenset().union(*[n for _, n in stack])
-            near = next((n for _, n in reversed(stack) if n), frozenset())
-            out.append(Block(text, stack[-1][0] if stack else "", frozenset(t for t, _ in stack), names, near, min(1.0, linked / max(1, len(text)))))
+            names = frozenset().union(*[n for _, n, _ in stack])
+            near = next((n for _, n, _ in reversed(stack) if n), frozenset())
+            parts = [p for *_, p in stack if p]
+            within = len(parts) - next((k for k, p in enumerate(reversed(parts)) if p == "main"), len(parts))
+            out.append(Block(text, stack[-1][0] if stack else "", frozenset(t for t, *_ in stack), names, near, parts[-1] if parts else "", sum(p == "aside" for p in parts[within:]), min(1.0, linked / max(1, len(text)))))
         held.clear()
         linked = 0
 
@@ -75,32 +149,17 @@ def blocks(page: str) -> list[Block]:
             if stack[i][0] in stop:
                 return
 
-    while at < end:
-        token = _TOKEN.match(page, at)
-        at = token.end()
-        tag = token[2]
-        if tag is None:
-            if token[0][:2] not in ("<!", "<?"):
-                held.append(token[0])
-                if links:
-                    linked += len(token[0])
-            elif token[0].startswith("<![CDATA["):
-                held.append(entities.escape(token[0][9:].removesuffix("]]>")))
-            continue
-        tag = tag.lower()
-        if token[1]:
+    for kind, tag, rest in _markup(page):
+        if kind in ("text", "plain"):
+            held.append(entities.unescape(rest) if kind == "text" else rest)
+            linked += len(rest) if links else 0
+        elif kind == "end":
             if tag == "a":
                 links = 0
             if tag in BLOCK_TAGS:
                 close()
                 pop_to({tag})
-            continue
-        if tag in SKIPPED_TAGS:
-            if not token[3].rstrip().endswith("/"):
-                found = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = found.end() if found else end
-            held.append(" ")
-        elif tag == "br":
+        elif tag in SKIPPED_TAGS or tag == "br":
             held.append(" ")
         elif tag == "a":
             links = 1
@@ -110,10 +169,10 @@ def blocks(page: str) -> list[Block]:
             if tag in CLOSES:
                 pop_to(CLOSES[tag], frozenset({"ul", "ol", "dl", "table"}))
             if tag not in EMPTY_TAGS:
-                names = {p.lower() for m in _NAMES.finditer(token[3]) for p in _PARTS.findall(m[1] or m[2] or m[3] or "")}
-                if _HIDDEN.search(token[3]):
+                names = {p.lower() for m in _NAMES.finditer(rest) for p in _PARTS.findall(m[1] or m[2] or m[3] or "")}
+                if _HIDDEN.search(rest):
                     names.add("!hidden")
-                stack.append((tag, frozenset(names)))
+                stack.append((tag, frozenset(names), _part(tag, frozenset(names))))
     close()
     return out
 
@@ -130,6 +189,8 @@ def describe(found: list[Block]) -> list[list[str]]:
         words = b.text.count(" ") + 1
         inside = bool(b.tags & {"article", "main"})
         f = ["bias", f"own:{b.own}", f"len:{_bin(words, (4, 9, 21, 61))}", f"link:{_bin(b.link_share, (0.01, 0.4, 0.8))}"]
+        # the nearest part of the page that says what it is, alone and with the text's form
+        f += [f"part:{b.part}", f"part:{b.part}:{b.own}", f"part:{b.part}:{_bin(words, (4, 9, 21, 61))}", f"asides:{b.asides > 0}:{marked}", f"asides:{b.asides > 0}:{b.own}"]
         f += [f"in:{t}" for t in b.tags] + [f"name:{n}" for n in b.names] + [f"near:{n}" for n in b.near]
         f.append(f"{b.own}:{len(b.near) > 0}:{_bin(words, (5, 15))}")
         f.append("stop" if b.text[-1:] in ".!?:;…\"')”»" else "nostop")
@@ -218,16 +279,6 @@ def fit(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 150, rate:
     return Field(index, w[0], w[1])
 
 
-# Names that page authors commonly give to parts of a page.
-ASIDE_NAMES = (
-    "nav navbar navigation menu header masthead topbar banner footer bottom copyright sidebar side aside rail widget related recommended "
-    "popular trending ad ads advert advertisement adslot sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay "
-    "comment comments reply replies respond disqus discussion form newsletter subscribe signup login search breadcrumb breadcrumbs share sharing social "
-    "tags pagination pager toolbar skip hidden legal disclaimer"
-).split()
-MAIN_NAMES = "article content main post entry body story text page maincontent bodytext articlebody".split()
-
-
 def page_maker(seed: int) -> list[tuple[str, int]]:
     """A labelled page: (markup piece, label) where a label other than -1 marks the leaf block that the piece holds."""
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -254,23 +305,35 @@ def page_maker(seed: int) -> list[tuple[str, int]]:
     def aside(tag: str, names: list[str], plain: float) -> None:
         add(named(tag, names, plain))
         kind = rng.random()
-        if kind < 0.35:
+        if kind < 0.25:  # prose as in an article
+            if rng.random() < 0.4:
+                add(f"<{(h := pick(['h2', 'h3']))}>{phrase(2, 10)}</{h}>", 0)
+            for _ in range(int(rng.integers(1, 5))):
+                add(f"<p>{phrase(5, 80, pick(['.', '.', '']))}</p>", 0)
+        elif kind < 0.35:
+            add("<div>")
+            add(phrase(8, 60, "."), 0)
+            add("</div>")
+        elif kind < 0.5:
             add("<ul>")
             for _ in range(int(rng.integers(2, 7))):
                 add(f'<li><a href="/{word()}">{phrase(1, 4)}</a></li>', 0)
             add("</ul>")
-        elif kind < 0.55:
+        elif kind < 0.65:
             add(f"<h3>{phrase(1, 5)}</h3>", 0)
             for _ in range(int(rng.integers(1, 4))):
                 add(f"<p>{phrase(4, 40, '.')}</p>", 0)
-        elif kind < 0.7:
+        elif kind < 0.75:
             add(f"<label>{phrase(1, 4)}</label><input type=text><button>", 0)
             add(f"{phrase(1, 3)}</button>", 0)
         else:
             add(pick(["&copy; 2021 ", "", "", ""]) + phrase(2, 30, pick([".", ""])), 0)
         add(f"</{tag}>")
 
-    add("<html><head><title>" + phrase(3, 9) + "</title><script>var a = '<p>';</script></head><body>", 0)
+    add("<html><head><title>" + phrase(3, 9) + "</title><script>var a = '<p>';</script></head>" + pick(["<body>", "<body>", named("body", [*MAIN_NAMES, *ASIDE_NAMES], 0.0)]), 0)
+    wrapped = rng.random() < 0.1  # some servers put the whole page into a form
+    if wrapped:
+        add(named("form", ["form", "aspnet"], 0.3))
     for _ in range(int(rng.integers(0, 4))):
         tag = pick(["nav", "header", "div", "div", "section", "form"])
         aside(tag, ASIDE_NAMES, 0.0 if tag in ("div", "section") else 0.5)
@@ -281,31 +344,32 @@ def page_maker(seed: int) -> list[tuple[str, int]]:
         add(f"<{(h := pick(['h1', 'h2']))}>{phrase(2, 10)}</{h}>", 1)
     for _ in range(int(rng.integers(1, 14))):
         kind = rng.random()
-        if kind < 0.58:
+        if kind < 0.52:
             add("<p>" + pick(["", "<b>", "<em>"]) + phrase(1 if rng.random() < 0.2 else 5, 80, pick([".", ".", ".", ""])) + pick(["</p>", "</p>", "<br>", ""]), 1)
-        elif kind < 0.67:
+        elif kind < 0.61:
             add(f"<h2>{phrase(1, 7)}</h2>", 1)
-        elif kind < 0.74:
+        elif kind < 0.67:
             add("<ul>")
             for _ in range(int(rng.integers(1, 5))):
                 add(f"<li>{phrase(1, 14, pick(['.', '']))}</li>", 1)
             add("</ul>")
-        elif kind < 0.79:
+        elif kind < 0.71:
             add(f"<blockquote>{phrase(4, 30, '.')}</blockquote>", 1)
-        elif kind < 0.82:
+        elif kind < 0.74:
             add(f"<pre>{phrase(4, 20)}</pre>", 1)
-        elif kind < 0.85:
+        elif kind < 0.77:
             add(f"<table><tr><td>{phrase(1, 5)}</td>", 1)
             add(f"<td>{phrase(1, 5)}</td></tr></table>", 1)
         else:
-            aside(pick(["div", "aside", "section", "form"]), ASIDE_NAMES, 0.0)
-    if rng.random() < 0.25:
-        aside("section", ["comments", "comment", "replies", "discussion"], 0.0)
+            tag_in = pick(["div", "div", "aside", "section", "form", "header", "footer", "nav"])
+            aside(tag_in, ASIDE_NAMES, 0.0 if tag_in in ("div", "section") else 0.6)
+    if rng.random() < 0.35:
+        aside(pick(["section", "div"]), ["comments", "comment", "replies", "discussion"], 0.0)
     add(f"</{tag}>")
     for _ in range(int(rng.integers(0, 4))):
         tag = pick(["footer", "aside", "div", "section", "form"])
         aside(tag, ASIDE_NAMES, 0.0 if tag in ("div", "section") else 0.5)
-    add("</body></html>")
+    add(("</form>" if wrapped else "") + "</body></html>")
     return out
 
 

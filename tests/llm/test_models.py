@@ -24,7 +24,7 @@ from tetraspark.llm.rules_sql import rules_sql
 from tetraspark.llm.scratch import Scratch
 from tetraspark.llm.tables import table
 
-MIDDLE = "/root/testdata/sf0.01"
+MIDDLE, LARGE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -113,8 +113,8 @@ def test_rules_run_no_python(spark):
     assert quality_rules.judged(odd, Scratch(spark, "t")).count() == 3 and quality_rules.keep_good(odd, Scratch(spark, "t")).columns == odd.columns
 
 
-def labelled_frame(name):
-    docs, labels = pd.read_parquet(f"{MIDDLE}/documents.parquet"), pd.read_parquet(f"{MIDDLE}/labels.parquet")
+def labelled_frame(name, folder=MIDDLE):
+    docs, labels = pd.read_parquet(f"{folder}/documents.parquet"), pd.read_parquet(f"{folder}/labels.parquet")
     return docs.merge(labels, on="doc_id").rename(columns={name: "label"})
 
 
@@ -124,14 +124,15 @@ def area(score, label):
     return (rank[label == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0)
 
 
-@pytest.mark.parametrize("module, name, least", [(quality_model, "quality", 0.97), (toxicity, "toxic", 0.8)])
-def test_models_on_held_out_rows(spark, module, name, least):
-    docs, labels = table(spark, MIDDLE, "documents"), table(spark, MIDDLE, "labels")
+@pytest.mark.parametrize("module, name, folder, least", [(quality_model, "quality", MIDDLE, 0.97), (toxicity, "toxic", MIDDLE, 0.8), (toxicity, "toxic", LARGE, 0.972)])
+def test_models_on_held_out_rows(spark, module, name, folder, least):
+    """At MIDDLE 37 toxic rows teach and 14 are held out, five of them in languages of which four rows or fewer teach."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     found = module.classify(docs, labels).toPandas().set_index("doc_id")
-    frame = labelled_frame(name)
+    frame = labelled_frame(name, folder)
     crc = np.array([zlib.crc32(str(i).encode()) % module.MODULUS for i in found.index])
     assert (found["held_out"] == (crc == module.REMAINDER)).all() and found["score"].between(0, 1).all()
-    assert (found["predicted"] == (found["score"] >= module.THRESHOLD)).all() and len(found) == 1000
+    assert (found["predicted"] == (found["score"] >= module.THRESHOLD)).all() and len(found) == docs.count()
     held = frame[[found.loc[i, "held_out"] for i in frame["doc_id"]]]
     assert area(found.loc[held["doc_id"], "score"].to_numpy(), held["label"].to_numpy()) >= least
 
@@ -176,17 +177,41 @@ def test_words_of_one_slot_keep_their_vectors():
 def test_whole_words_and_borders_speak_for_toxicity():
     rnd = random.Random(8)
     ordinary = [prose(rnd, 60) for _ in range(200)]
-    toxic = [prose(rnd, 30) + " zyxwvut qqj kkv " + prose(rnd, 30) for _ in range(60)]
+    toxic = [prose(rnd, 30) + " zyxwvut qqj kkv " + prose(rnd, 30) + " übelwort " + "abcdefghijklm" + rnd.choice(("wwwww", "vvvvv")) for _ in range(60)]
     model = toxicity.fit(pd.DataFrame({"text": ordinary + toxic, "label": [0] * 200 + [1] * 60}).sample(frac=1, random_state=1))
     clean = prose(rnd, 60)
     of = lambda *more: toxicity.score(model, pa.array([clean + " " + m for m in more])).tolist()
     none, plain, quoted, dashed, inverted, spaced, compound, unspaced = of("", "zyxwvut qqj kkv", "“zyxwvut” qqj kkv", "zyxwvut—qqj\xa0kkv", "¡zyxwvut! «qqj» kkv", "zyxwvut\u3000qqj kkv", "superzyxwvut", "日本語" * 20 + "zyxwvut" + "日本語" * 20)
     assert plain == quoted == dashed == inverted == spaced > 0.5 > none
     assert compound > none and unspaced > none
-    border = [p for p in model.pairs if p.runs]
-    assert border and border[0].differences["qqj kkv "[: toxicity.RUN].strip()] > 0
-    found, _ = toxicity.words("語" * 100)
-    assert sum(found.values()) >= 100 // toxicity.STRETCH
+    # the ends of long words, and what goes over words' borders
+    same, other = of("abcdefghijklmwwwww", "abcdefghijklmzzzzz")
+    assert same > none and same >= other
+    assert len(model.dictionaries.gains(toxicity.plain("qqj kkv"))[0]) and of("übelwort")[0] > none
+    assert toxicity.plain("A—b\u3000C1d, é!") == b" a b c d \xc3\xa9 " and toxicity.plain("") == b"  "
+
+
+def test_windows_cover_whole_texts():
+    """A marked piece is found wherever it stands, and no window without one is compressed."""
+    known = [toxicity.Known(5, np.array([int.from_bytes(b"zzzzz", "little")], np.uint64))]
+    d = toxicity.Dictionaries(known, b"azzzzzb\x01", b"the of and ")
+    for n in (0, 1, 11, 12, 13, 500, 1000, 100_000):
+        gains, windows = d.gains(b"a" * n + b"zzzzz" + b"b" * 30)
+        wanted = [a for a in range(0, n + 35, toxicity.STRIDE) if a <= n and n + 5 <= a + toxicity.WINDOW]
+        assert len(gains) == len(wanted) and windows == -(-(n + 35) // toxicity.STRIDE)
+    assert len(d.gains(b"a" * 1000)[0]) == 0 and len(d.gains(b"")[0]) == 0
+
+
+def test_samples_are_bounded_and_have_one_row_an_id(spark):
+    texts = [("x" * 10 * (k % 7 + 1)) + str(k) for k in range(60)]
+    docs = documents(spark, texts).unionByName(documents(spark, ["repeated"]).withColumn("doc_id", F.lit(7)).crossJoin(spark.range(3000).select()))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    whole = labelled.sample(docs, labels, "toxic", 4, 2, 1000, 10**6)
+    learnt = [k for k in range(60) if zlib.crc32(str(k).encode()) % 4 != 2]
+    assert sorted(whole["text"]) == sorted("repeated" if k == 7 else texts[k] for k in learnt)
+    some = labelled.sample(docs, labels, "toxic", 4, 2, 1000, 300)
+    assert 200 < some["text"].str.len().sum() <= 300 and set(some["text"]) < set(whole["text"])
+    assert len(labelled.sample(docs, labels, "toxic", 4, 2, 5, 10**6)) == 5 and labelled.sample(docs, labels, "toxic", 4, 2, 5, 0).empty
 
 
 def test_other_columns_pass_through_scoring(spark):

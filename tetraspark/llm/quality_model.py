@@ -20,7 +20,7 @@ from .memory import release
 
 MODULUS, REMAINDER, THRESHOLD = 5, 0, 0.3
 #: Bounds of the labelled sample.
-SAMPLE_ROWS, SAMPLE_CHARS = 3000, 50_000
+SAMPLE_ROWS, SAMPLE_CHARS = 3000, 12_000_000
 #: Text whose tokens' full vectors are held at once in fitting.
 FITTED_BYTES = 1 << 18
 #: Tokens with a vector of their own, and what a vector and an index vector have.

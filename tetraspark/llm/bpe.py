@@ -14,6 +14,7 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import cache
+from sys import getsizeof
 
 import numpy as np
 import pandas as pd
@@ -33,32 +34,34 @@ LETTERS, NUMBERS, LATIN_SPACE = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
 #: The pattern that LATIN_PRETOKENS stands for on texts within Latin-1.
 COMMON_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LATIN_PRETOKENS = re.compile(f" ?[{LETTERS}]+| ?[{NUMBERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{LATIN_SPACE}{LETTERS}{NUMBERS}]+|[{LATIN_SPACE}]+(?![^{LATIN_SPACE}])|[{LATIN_SPACE}]+")
-#: Distinct pre-tokens that a worker remembers, and as many that it has seen once.
-REMEMBERED = 250_000
+#: Bytes of memory for pre-tokens that a worker has met, and as many for those met longer ago.
+REMEMBERED = 80 << 20
 
 
 class Remembered(dict):
-    """A dict that makes missing values by a function.
+    """A dict that makes missing values by a function, and holds at most 2 * limit bytes of keys and values.
 
-    A value waits among `limit` young ones, and stays only when it is asked for again there: most words of a
-    corpus occur once, and don't push out those that don't.
+    Once it is full, what it holds counts as old, and is dropped when it is full again, but for what was asked
+    for in between. What takes a noticeable part of the limit isn't held.
     """
 
     def __init__(self, make, limit: int = REMEMBERED):
         super().__init__()
-        self._make, self._limit, self._young = make, limit, {}
+        self._make, self._limit, self._used, self._old = make, limit, 0, {}
 
     def __missing__(self, key):
-        value = self._young.pop(key, None)
+        value = self._old.get(key)
         if value is None:
             value = self._make(key)
-            if len(self._young) >= self._limit:
-                self._young.clear()
-            self._young[key] = value
+        size = getsizeof(key) + getsizeof(value) + 100
+        if size * 256 > self._limit:
             return value
-        if len(self) >= self._limit:
+        if self._used + size > self._limit:
+            self._old = dict(self)
             self.clear()
+            self._used = 0
         self[key] = value
+        self._used += size
         return value
 
 
@@ -89,7 +92,7 @@ class Vocabulary:
                 self.pairs[parts[0], parts[1]] = rank
         #: Tokens that the merges never make, though they have a rank.
         self.unreachable = {r for t, r in ranks.items() if len(t) > 1 and self.left[r] == r}
-        self.follows = Remembered(self._follows, 500_000)
+        self.follows = Remembered(self._follows)
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hftok import chunk_encoder
@@ -200,7 +200,8 @@ class ShardReader:
 def write_shards(docs: DataFrame, path: str, base: int, end_id: int, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes documents in ascending id order and writes them as shards.
 
-    Returns the written table (part, seq, n_docs, n_ids, payload); ascending part and seq is ascending id.
+    Returns the written table (part, seq, before, n_docs, n_ids, payload); ascending part and seq is ascending id,
+    before: the ids of the part's shards before.
     Null and empty texts hold the end id alone; rows of equal id stand by text, repeated rows next to each
     other; a null id sorts first and is stored as the least 64-bit integer. An empty table gives no shards.
     """
@@ -212,43 +213,42 @@ def write_shards(docs: DataFrame, path: str, base: int, end_id: int, scratch: Sc
         encoder, end = chunk_encoder(path), np.array([end_id], "<u4").tobytes()
         keys: list[int] = []
         ids: list[np.ndarray] = []
-        part = held = seq = 0
+        part = held = seq = before = 0
 
         def shard() -> pd.DataFrame:
-            return pd.DataFrame({"part": [part], "seq": [seq], "n_docs": [len(keys)], "n_ids": [held], "payload": [write_payload(keys, ids, base)]})
+            return pd.DataFrame({"part": [part], "seq": [seq], "before": [before], "n_docs": [len(keys)], "n_ids": [held], "payload": [write_payload(keys, ids, base)]})
 
         for pdf in batches:
             for of, key, text in zip(pdf["part"], pdf["key"], pdf["text"], strict=True):
                 if keys and (of != part or held >= SHARD_IDS):
                     yield shard()
+                    before += held
                     keys, ids, held, seq = [], [], 0, seq + 1
                 if of != part:
-                    part, seq = of, 0
+                    part, seq, before = of, 0, 0
                 keys.append(key)
                 ids.append(np.frombuffer(encoder.encode_bytes(text) + end, "<u4"))
                 held += len(ids[-1])
         if keys:
             yield shard()
 
-    return scratch.save(rows.mapInPandas(run, "part int, seq int, n_docs long, n_ids long, payload binary"), "shards")
+    return scratch.save(rows.mapInPandas(run, "part int, seq int, before long, n_docs long, n_ids long, payload binary"), "shards")
 
 
-def shard_offsets(shards: DataFrame) -> DataFrame:
-    """(part, seq, before): ids in all shards before each. Only one number a partition comes to the driver."""
+def part_offsets(shards: DataFrame) -> DataFrame:
+    """(part, base): ids in all parts before each. Parts are ranges.RANGES_A_PARTITION a shuffle partition at most, whatever the corpus."""
     totals = sorted((r["part"], r["n"]) for r in shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
-    rows, before = [], 0
+    rows, base = [], 0
     for part, n in totals:
-        rows.append((part, before))
-        before += n
-    parts = shards.sparkSession.createDataFrame(rows, "part int, base long")
-    w = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    within = shards.select("part", "seq", F.coalesce(F.sum("n_ids").over(w), F.lit(0)).alias("within"))
-    return within.join(parts, "part").select("part", "seq", (F.col("base") + F.col("within")).alias("before"))
+        rows.append((part, base))
+        base += n
+    return shards.sparkSession.createDataFrame(rows, "part int, base long")
 
 
 def read_documents(shards: DataFrame, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """(id_col, start, n_tokens, ids_crc32[, ids]) of each document, decoded from the shards."""
-    located = shards.select("part", "seq", "payload").join(shard_offsets(shards.select("part", "seq", "n_ids")), ["part", "seq"])
+    """(id_col, start, n_tokens, ids_crc32[, ids]) of each document, decoded from the shards where they are read."""
+    offsets = F.broadcast(part_offsets(shards.select("part", "n_ids")))  # one row a part
+    located = shards.select("part", "before", "payload").join(offsets, "part").select((F.col("base") + F.col("before")).alias("before"), "payload")
 
     @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -12,10 +12,11 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import documents, empty, odd_texts
-from tetraspark.llm import bpe, hftok, packing, tokenfiles
+from tetraspark.llm import bpe, hftok, packing, ranges, tokenfiles
 from tetraspark.llm.scratch import Scratch
 
 RANKS, BYTES, WORDS = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
@@ -63,9 +64,13 @@ def test_prefixes_hold_valid_last_tokens():
 
 def test_remembered_values_survive_the_bound():
     made = []
-    memory = bpe.Remembered(lambda k: made.append(k) or k * 2, 4)
-    assert [memory[k] for k in [*range(10), *range(10)]] == [k * 2 for k in [*range(10), *range(10)]]
-    assert len(memory) <= 4
+    memory = bpe.Remembered(lambda k: made.append(k) or k * 2, 100_000)
+    for _ in range(3):
+        assert [memory[k] for k in range(2000)] == [k * 2 for k in range(2000)]
+        assert memory[5] == 10 and len(memory) + len(memory._old) < 2 * 100_000 / 150
+    kept = len(made)
+    assert memory[5] == 10 and len(made) == kept
+    assert memory["x" * 10_000] == "x" * 20_000 and "x" * 10_000 not in memory
 
 
 def test_byte_bpe_of_a_table(spark, reference):
@@ -87,6 +92,24 @@ def test_chunks_encode_as_whole_texts(text):
         assert hftok.chunk_encoder(path, words).encode(text).tolist() == whole(path).encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("a'sdtmrevl 12 \n\t!\xa0éÉ²"), max_size=14), max_size=5))
+def test_pretokens_on_arrays_are_the_expressions(many):
+    for words, pattern in ((False, bpe.LATIN_PRETOKENS), (True, hftok.LATIN_WORDS)):
+        data = [(t.lower() if words else t).encode("latin-1") for t in many]
+        joined, offsets = b"".join(data), np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
+        start, end, first = hftok.pretokens(np.frombuffer(joined, np.uint8), offsets, words)
+        for k, d in enumerate(data):
+            assert [joined[a:b] for a, b in zip(start[first[k] : first[k + 1]], end[first[k] : first[k + 1]])] == [m.encode("latin-1") for m in pattern.findall(d.decode("latin-1"))]
+
+
+def test_texts_encode_together_as_alone(monkeypatch):
+    monkeypatch.setattr(hftok, "SLICE_BYTES", 40)
+    many = [t or "" for t in odd_texts()] * 3
+    for path, words in ((BYTES, False), (WORDS, True)):
+        assert [x.tolist() for x in hftok.chunk_encoder(path, words).encode_all(many)] == [whole(path).encode(t, add_special_tokens=False).ids for t in many]
+
+
 _whole = {}
 
 
@@ -191,3 +214,38 @@ def test_packing_of_a_table(spark):
     assert set(found["sequence_id"]) == set(range(found["sequence_id"].nunique()))
     assert grouped.sum().sum() >= 0.97 * 32 * found["sequence_id"].nunique()
     assert packing.pack(empty(spark), WORDS, 1, Scratch(spark, "t")).count() == 0
+
+
+def awkward(spark):
+    """Null and repeated ids, repeated rows, and columns whose names the operators use themselves."""
+    rows = [(None, "a null id", 1, "x"), (5, "one text", 2, "x"), (5, "another text", 3, "x"), (5, "one text", 2, "x"), (-7, None, None, None), (9, "", 4, "y")]
+    return spark.createDataFrame(rows, "doc_id long, text string, part long, key string").withColumn("ids", F.lit(0)).withColumn("length", F.lit(1)).withColumn("payload", F.lit("p"))
+
+
+def by_id(rows):
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, *r[1:]))
+
+
+def test_tokens_of_awkward_tables(spark, reference):
+    docs = awkward(spark)
+    texts_ = by_id([(r["doc_id"], r["text"] or "") for r in docs.collect()])
+    n = [(i, len(reference.encode_ordinary(t))) for i, t in texts_]
+    assert by_id([(r["doc_id"], r["n_tokens"]) for r in bpe.round_trip(docs, RANKS, P.PATTERN).collect()]) == by_id(n)
+    shards = tokenfiles.write_shards(docs, BYTES, 50_257, 2, Scratch(spark, "t"))
+    found = sorted(tokenfiles.read_documents(shards, with_ids=True).collect(), key=lambda r: r["start"])
+    ids = [(i, [*whole(BYTES).encode(t, add_special_tokens=False).ids, 2]) for i, t in texts_]
+    assert [(r["doc_id"], r["ids"]) for r in found] == ids and [r["start"] for r in found] == [sum(len(x) for _, x in ids[:k]) for k in range(len(ids))]
+    packed = packing.pack(docs, WORDS, 1, Scratch(spark, "t"), window=4).collect()
+    wanted = [(i, len(whole(WORDS).encode(t, add_special_tokens=False).ids) + 1) for i, t in texts_]
+    assert by_id([(r["doc_id"], r["doc_tokens"]) for r in packed if r["start"] == 0]) == by_id(wanted) and sum(r["length"] for r in packed) == sum(x for _, x in wanted)
+
+
+def test_shards_of_many_ranges(spark):
+    """Keys of any sign and distance are cut into ranges in their order, however they are dealt out."""
+    keys = [-(2**62), -5, -4, 0, *range(10, 400, 3), 2**61, 2**62]
+    docs = spark.createDataFrame([(k, f"text {k}") for k in keys], "doc_id long, text string").repartition(5)
+    found = ranges.with_range(docs.withColumnRenamed("doc_id", "key")).collect()
+    in_order = [r["part"] for r in sorted(found, key=lambda r: r["key"])]
+    assert in_order == sorted(in_order) and len(set(in_order)) > 4
+    shards = tokenfiles.write_shards(docs, BYTES, 50_257, 2, Scratch(spark, "t"))
+    assert [r["doc_id"] for r in sorted(tokenfiles.read_documents(shards).collect(), key=lambda r: r["start"])] == keys

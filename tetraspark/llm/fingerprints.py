@@ -102,7 +102,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Edited: the last floor(n / 2) code points give way to the first as many (or all) of the next document by
     ascending id; the last document's next is the first. Null texts are empty; two empty texts are alike (1.0).
-    Rows of equal id stand by text; a null id sorts first; a sole row's next is itself; no rows give none.
+    Rows of equal id stand by text; a null id sorts first (as the least 64-bit integer, which counts as null); a sole row's next is itself; no rows give none.
     """
 
     @tidy

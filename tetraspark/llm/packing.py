@@ -107,8 +107,9 @@ def cut(docs: DataFrame, path: str, end_id: int, window: int, id_col: str, text_
         end = np.array([end_id], "<u4").tobytes()
         for pdf in batches:
             rows = []
-            for key, text in zip(pdf["key"], pdf["text"], strict=True):
-                data = encoder.encode_bytes(text or "") + end
+            texts = [t or "" for t in pdf["text"]]
+            for key, ids in zip(pdf["key"], encoder.encode_all(texts), strict=True):
+                data = ids.tobytes() + end
                 n = len(data) // 4
                 for start in range(0, n, window):
                     length = min(window, n - start)
@@ -155,6 +156,7 @@ def pack(docs: DataFrame, path: str, end_id: int, scratch: Scratch, window: int
                 offset[at] = p["offset"][row] + nth % p["each"][row] * k
             yield pdf.drop(columns=["rank", "before"]).assign(sequence_id=sequence, offset=offset).astype({"key": "Int64"})
 
-    ranked = pieces.join(by_part.drop("n"), ["length", "part"]).select("key", "start", "length", "ids_crc32", "doc_tokens", "rank", "before", *["ids"] * with_ids)
+    # rows of ranks grow with the tasks, so they aren't broadcast; a key's pieces are those of one length in one task
+    ranked = pieces.join(by_part.drop("n").hint("merge"), ["length", "part"]).select("key", "start", "length", "ids_crc32", "doc_tokens", "rank", "before", *["ids"] * with_ids)
     placed = ranked.mapInPandas(place, "key long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids + ", sequence_id long, offset long")
     return placed.withColumnRenamed("key", id_col)

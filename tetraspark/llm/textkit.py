@@ -115,18 +115,24 @@ class Bytes:
             ok[i] = bool((self.buf[a[i] : a[i] + size[i]] == self.buf[b[i] : b[i] + size[i]]).all())
         return ok
 
-    def names(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Numbers from 1 on that ranges share if, and only if, their bytes are the same."""
+    def groups(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers from 0 on that ranges share if, and only if, their bytes are the same; and of each number the index of one range."""
         hashes, size = self.hashes(start, end), end - start
         order = np.argsort(hashes)
         same = hashes[order[1:]] == hashes[order[:-1]]
         a, b = order[:-1][same], order[1:][same]
+        which = np.empty(len(order), np.int64)
         if (size[a] != size[b]).any() or not self.equal(start[a], start[b], size[a]).all():
             seen: dict[bytes, int] = {}  # different bytes of one hash
-            return np.array([seen.setdefault(self.buf[x:y].tobytes(), len(seen) + 1) for x, y in zip(start, end, strict=True)], np.int64)
-        out = np.empty(len(order), np.int64)
-        out[order] = np.cumsum(np.concatenate([[True], ~same])[: len(order)])
-        return out
+            which[:] = [seen.setdefault(self.buf[x:y].tobytes(), len(seen)) for x, y in zip(start, end, strict=True)]
+            return which, np.unique(which, return_index=True)[1]
+        fresh = np.concatenate([[True], ~same])[: len(order)]
+        which[order] = np.cumsum(fresh) - 1
+        return which, order[fresh]
+
+    def names(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Numbers from 1 on that ranges share if, and only if, their bytes are the same."""
+        return self.groups(start, end)[0] + 1
 
 
 class Words:

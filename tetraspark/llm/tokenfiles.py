@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hftok import chunk_encoder
+from .hftok import SLICE_BYTES, ChunkEncoder, chunk_encoder
 from .memory import tidy
 from .ranges import partitions, with_range
 from .scratch import Scratch
@@ -44,20 +44,27 @@ def compress(ids: np.ndarray, first: np.ndarray, base: int) -> tuple[np.ndarray,
     makes rules. A pair's count can only fall unless it holds a new symbol, so that a round looks only at new
     symbols' pairs and at those that were frequent in the round before.
     """
-    symbols, starts = ids.astype(np.uint32), first.astype(np.int64)
+    n, starts = len(ids), first.astype(np.int64)
+    # symbols stay where they are; after a replacement the second place is dead and skipped. n: no place
+    symbols = np.append(ids.astype(np.uint32), np.uint32(0))
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    filled = np.diff(starts) > 0
+    after[starts[1:][filled] - 1] = n
+    before[starts[:-1][filled]] = n
+    dead, live, near = np.zeros(n, bool), np.ones(n + 1, bool), np.zeros(n + 1, bool)
     rules: list[np.ndarray] = []
     lengths = [np.ones(base, np.int64)]
     made = 0
-    live = np.ones(len(symbols), bool)
     table = np.empty(1 << _SLOTS_LOG, np.int32)
     while True:
-        live[starts[starts > 0] - 1] = False
+        live[n] = False
         at = np.flatnonzero(live)
+        at = at[after[at] != n]
         if len(at) < LEAST_COUNT:
             break
         # pairs take 32 bits as long as their symbols take 16
         two, bits = (np.uint32, 16) if base + made <= 1 << 16 else (np.uint64, 32)
-        code = (symbols[at].astype(two) << two(bits)) | symbols[at + 1].astype(two)
+        code = (symbols[at].astype(two) << two(bits)) | symbols[after[at]].astype(two)
         ordered = np.sort(code)
         edge = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
         count = np.diff(np.append(edge, len(ordered)))
@@ -78,42 +85,45 @@ def compress(ids: np.ndarray, first: np.ndarray, base: int) -> tuple[np.ndarray,
         rank[pairs[rank] != code] = -1
         # where a pair isn't less frequent than its neighbours, then likewise among those that overlap none of these;
         # of a run of one symbol, every second pair
-        chosen = []
-        near = np.zeros(len(symbols) + 2, bool)  # one place further on
+        chosen, marked = [], []
         at, rank = at[rank >= 0], rank[rank >= 0]
         for _ in range(PASSES):
-            touch = np.diff(at) == 1
+            touch = after[at[:-1]] == at[1:]
             best = np.ones(len(at), bool)
             best[1:] &= ~touch | (rank[1:] >= rank[:-1])
             best[:-1] &= ~touch | (rank[:-1] >= rank[1:])
             where, which = at[best], rank[best]
-            run = np.concatenate([[True], np.diff(where) != 1])[: len(where)]
-            odd = (where - np.maximum.accumulate(np.where(run, where, 0))) & 1 == 0
+            place = np.arange(len(where))
+            run = np.concatenate([[True], after[where[:-1]] != where[1:]])[: len(where)]
+            odd = (place - np.maximum.accumulate(np.where(run, place, 0))) & 1 == 0
             where, which = where[odd], which[odd]
             chosen.append((where, which))
-            near[where] = near[where + 1] = near[where + 2] = True
-            free = ~near[at + 1]
+            marked += [before[where], where, after[where]]
+            for places in marked[-3:]:
+                near[places] = True
+            free = ~near[at]
             at, rank = at[free], rank[free]
+        for places in marked:
+            near[places] = False
         at, rank = (np.concatenate(x) for x in zip(*chosen, strict=True))
-        order = np.argsort(at, kind="stable")
-        at, rank = at[order], rank[order]
         # half the count is what a run of one symbol has room for
         used = 2 * np.bincount(rank, minlength=len(pairs)) >= LEAST_COUNT
         at, rank = at[used[rank]], rank[used[rank]]
         symbols[at] = (np.cumsum(used) - 1 + (base + made))[rank]
+        gone = after[at]
+        dead[gone] = True
+        live[gone] = False
+        after[at] = after[gone]
+        before[after[at]] = at
         live[at] = True
-        live[at[at > 0] - 1] = True
-        keep = np.ones(len(symbols), bool)
-        keep[at + 1] = False
-        starts -= np.searchsorted(at + 1, starts)
-        symbols, live = symbols[keep], live[keep]
+        live[before[at]] = True
         pairs = pairs[used]
         rules.append(np.stack([pairs >> two(bits), pairs & two((1 << bits) - 1)], 1).astype(np.int64))
         known = np.concatenate(lengths)
         lengths.append(known[rules[-1]].sum(axis=1))
         made += len(pairs)
     pair = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    return symbols, starts, pair, np.concatenate(lengths)[base:]
+    return symbols[:n][~dead], starts - np.concatenate([[0], np.cumsum(dead)])[starts], pair, np.concatenate(lengths)[base:]
 
 
 def packed(symbols: np.ndarray, bits: int) -> bytes:
@@ -197,20 +207,33 @@ class ShardReader:
         return self._expand(self.symbols)
 
 
+def _encoded(batches: Iterator[pd.DataFrame], encoder: ChunkEncoder) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(part, key, ids) of each row; batches are taken together up to what the encoder works on at once."""
+    rows: list[tuple[int, int, str]] = []
+    size = 0
+    for pdf in batches:
+        rows += zip(pdf["part"], pdf["key"], pdf["text"], strict=True)
+        size += int(pdf["text"].str.len().sum())
+        if size >= SLICE_BYTES:
+            yield from ((of, key, ids) for (of, key, _), ids in zip(rows, encoder.encode_all([t for *_, t in rows]), strict=True))
+            rows, size = [], 0
+    yield from ((of, key, ids) for (of, key, _), ids in zip(rows, encoder.encode_all([t for *_, t in rows]), strict=True))
+
+
 def write_shards(docs: DataFrame, path: str, base: int, end_id: int, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes documents in ascending id order and writes them as shards.
 
     Returns the written table (part, seq, before, n_docs, n_ids, payload); ascending part and seq is ascending id,
     before: the ids of the part's shards before.
     Null and empty texts hold the end id alone; rows of equal id stand by text, repeated rows next to each
-    other; a null id sorts first and is stored as the least 64-bit integer. An empty table gives no shards.
+    other; a null id sorts first and is stored as the least 64-bit integer, which is thus no id of its own. An empty table gives no shards.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = with_range(rows).repartition(partitions(docs), "part").sortWithinPartitions("part", "key", "text")
 
     @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = chunk_encoder(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = chunk_encoder(path), np.array([end_id], "<u4")
         keys: list[int] = []
         ids: list[np.ndarray] = []
         part = held = seq = before = 0
@@ -218,17 +241,16 @@ def write_shards(docs: DataFrame, path: str, base: int, end_id: int, scratch: Sc
         def shard() -> pd.DataFrame:
             return pd.DataFrame({"part": [part], "seq": [seq], "before": [before], "n_docs": [len(keys)], "n_ids": [held], "payload": [write_payload(keys, ids, base)]})
 
-        for pdf in batches:
-            for of, key, text in zip(pdf["part"], pdf["key"], pdf["text"], strict=True):
-                if keys and (of != part or held >= SHARD_IDS):
-                    yield shard()
-                    before += held
-                    keys, ids, held, seq = [], [], 0, seq + 1
-                if of != part:
-                    part, seq, before = of, 0, 0
-                keys.append(key)
-                ids.append(np.frombuffer(encoder.encode_bytes(text) + end, "<u4"))
-                held += len(ids[-1])
+        for of, key, found in _encoded(batches, encoder):
+            if keys and (of != part or held >= SHARD_IDS):
+                yield shard()
+                before += held
+                keys, ids, held, seq = [], [], 0, seq + 1
+            if of != part:
+                part, seq, before = of, 0, 0
+            keys.append(key)
+            ids.append(np.append(found, end))
+            held += len(ids[-1])
         if keys:
             yield shard()
 

@@ -26,7 +26,7 @@ from .skew import hot_of, spread_join
 
 Signer = Callable[[np.ndarray], np.ndarray]
 #: Shingles of a block's members, and of its strays.
-BLOCK_SHINGLES = 60_000
+BLOCK_SHINGLES = 25_000
 #: Tasks that the rows of one home or band value are dealt to before their blocks are known.
 SALTS = 32
 
@@ -276,6 +276,7 @@ def classes(docs: DataFrame, scratch: Scratch, k: int, percent: int, signer: Sig
     late = scratch.save(late.distinct(), "late")
     if not late.isEmpty():
         found = components(near.unionByName(late), scratch, "last")
+    scratch.drop("crowded", "buckets", "homes", "texts", "star", "links", "open", "late", "first-edges", "last-edges")
 
     of_set = nodes.select("lo", "hi", "n", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("lo", "hi", "n", F.coalesce("component", "rep").alias("component"))
     out = feats.select("key", "n", "lo", "hi").join(of_set, ["lo", "hi", "n"], "left")

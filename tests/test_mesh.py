@@ -343,6 +343,8 @@ def test_second_order_elements(spark, tmp_path):
 def test_sources_by_name(spark):
     with pytest.raises(ValueError, match="closed"):
         registry.read_mesh(spark, "x", "apf")
+    with pytest.raises(ValueError, match="library that isn't here"):
+        registry.read_mesh(spark, "x", "netcdf")
     with pytest.raises(ValueError, match="unknown source"):
         registry.read_mesh(spark, "x", "stl")
 
@@ -384,6 +386,25 @@ def test_conversion(spark, tmp_path):
     assert 'Dimensions="36 4"' in (tmp_path / "out" / "mesh.xdmf").read_text() and json.loads((tmp_path / "out" / "manifest.json").read_text()) == stored
 
 
+def test_conversion_by_default(spark, tmp_path):
+    write(gmsh.text22(small_box(spark, 6, 2, 3)), tmp_path / "m.msh")
+    manifest = convert(spark, str(tmp_path / "m.msh"), source="msh2", rows_a_file=10, compactify=True, aspect_ratios=True)
+    tables, _ = columnar.read(spark, str(tmp_path / "m.puml.h5"))
+    assert tables["connect"].schema["vertices"].dataType.simpleString() == "array<tinyint>" and tables["connect"].count() == 36
+    assert len(list((tmp_path / "m.puml.h5" / "connect").glob("part-*"))) >= 4
+    assert sum(b["cells"] for b in manifest["aspect_ratios"]) == 36 and len(manifest["aspect_ratios"]) == 8
+
+
+def test_block_heads_among_lines_like_them(spark, tmp_path):
+    """Triangles numbered 0 to 3, and integer coordinates with a parameter, look like heads."""
+    text = ["$MeshFormat", "4.1 0 8", "$EndMeshFormat", "$Entities", "0 0 1 1", "1 0 0 0 1 1 1 1 7 0", "1 0 0 0 1 1 1 1 9 0", "$EndEntities", "$Nodes", "2 4 1 4", "1 1 1 2", "1", "2"]
+    text += ["0 0 0 1", "1 0 0 2", "3 1 0 2", "3", "4", "0 1 0", "0 0 1", "$EndNodes", "$Elements", "2 3 1 3", "2 1 2 2", "1 1 3 2", "2 1 2 4", "3 1 4 1", "3 1 2 3 4", "$EndElements"]
+    (tmp_path / "m").write_text("\n".join(text) + "\n")
+    mesh = gmsh.read(spark, str(tmp_path / "m"))
+    assert sorted(map(tuple, mesh.vertices.collect())) == [(0, 0.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, 0.0, 1.0, 0.0), (3, 0.0, 0.0, 1.0)]
+    assert [(r["vertices"], r["group"]) for r in mesh.cells.collect()] == [([0, 1, 2, 3], 9)] and sorted(r["tag"] for r in mesh.facets.collect()) == [7, 7]
+
+
 def test_names():
     assert columnar.output_name("a/mesh.neu") == "a/mesh.puml.h5" and columnar.output_name("mesh") == "mesh.puml.h5" and columnar.output_name("x", "y") == "y"
     assert [columnar.description_name(n) for n in ("a.puml.h5", "a.h5", "a")] == ["a.xdmf", "a.xdmf", "a.xdmf"]

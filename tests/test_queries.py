@@ -28,4 +28,4 @@ def test_query_equals_sql(spark, name):
 def test_entry_and_registry(spark):
     assert entry.entry(spark).collect()[0].asDict() == {"cell_count": 1200, "vertex_count": 462, "min_insphere": pytest.approx(1 / (2 + 2 * 2**0.5)), "degenerate_cells": 0}
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(QUERIES) - set(ORACLE_SQL) == {"xml_config_rows"}
+    assert set(QUERIES) == set(ORACLE_SQL)

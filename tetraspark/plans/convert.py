@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..mesh import Mesh
 from ..operators.faces import repeated_facets
-from ..operators.quality import summary
+from ..operators.geometry import aspect_ratio
+from ..operators.quality import ratio_histogram, summary
 from ..operators.validate import dangling_corners, require_empty
 from ..sinks import columnar
 from ..sources.registry import read_mesh
@@ -33,9 +34,17 @@ def check(mesh: Mesh) -> None:
         require_empty(repeated_facets(mesh.facets), "a facet occurs twice in the surface mesh")
 
 
-def convert(spark: SparkSession, source_path: str, output: str, source: str = "gambit", boundary: str = "i32", compactify: bool = False, compression: str = "zstd", **options) -> dict:
-    """Reads, checks and writes a mesh; returns the manifest with the smallest insphere."""
+def convert(
+    spark: SparkSession, source_path: str, output: str | None = None, source: str = "gambit", boundary: str = "i32", compactify: bool = False, compression: str = "zstd",
+    rows_a_file: int = 0, aspect_ratios: bool = False, **options,
+) -> dict:
+    """Reads, checks and writes a mesh; returns the manifest with the smallest insphere, and the histogram of aspect ratios if asked for.
+
+    Without an output it is named after the source (columnar.output_name). compression and rows_a_file: as columnar.write().
+    """
     mesh = materialise(read_mesh(spark, source_path, source, **options), working_folder(spark, "convert"))
     check(mesh)
-    found = summary(mesh).select(F.col("min_insphere"), "degenerate_cells").first()
-    return columnar.write(mesh, output, boundary, compactify, compression) | found.asDict()
+    found = summary(mesh).select(F.col("min_insphere"), "degenerate_cells").first().asDict()
+    if aspect_ratios:
+        found["aspect_ratios"] = [r.asDict() for r in ratio_histogram(aspect_ratio(mesh.cells, mesh.vertices)).orderBy("bin").collect()]
+    return columnar.write(mesh, columnar.output_name(source_path, output), boundary, compactify, compression, rows_a_file) | found

@@ -20,19 +20,19 @@ from .sources.tables import table
 from .storage import working_folder
 from .streaming.monitor import group_counts
 
-#: A settings document with every kind of element.
-SETTINGS = """
-<freeSurface>1</freeSurface><dynamicRupture>2, 5</dynamicRupture><absorbing>3,4</absorbing>
-<boundaryCondition tag="65">7</boundaryCondition><boundaryCondition tag="68">8,9</boundaryCondition>
-<globalMSize value="50e3"/><gradation value="0.25"/><area_AspectRatio value="3"/><vol_AspectRatio value="5"/>
-<vertexMSize value="100">1,2</vertexMSize><edgeMSize value="50">4</edgeMSize><surfaceMSize value="2e3">1,2</surfaceMSize><regionMSize value="15e3">1</regionMSize>
-<MeshSizePropagation Distance="1e3" ScalingFactor="1.5">1,6</MeshSizePropagation>
-<SurfaceMeshing SmoothingLevel="3" SmoothingType="Laplacian" DiscreteAngle="2.0" Snap="1"/>
-<MeshRefinementZoneCube value="1000"><Center x="0" y="1" z="-1e3"/><HalfWidth x="2e3" y="0" z="0"/><HalfHeight x="0" y="2e3" z="0"/><HalfDepth x="0" y="0" z="3"/></MeshRefinementZoneCube>
-<UseDiscreteMesh noModification="1">1</UseDiscreteMesh><surfaceNoMesh>1,2</surfaceNoMesh><regionNoMesh>4</regionNoMesh>
-<VelocityAwareMeshing easiFile="material.yaml" elementsPerWaveLength="2">
-  <VelocityRefinementCuboid frequency="2" centerX="0.1" centerY="0" centerZ="0" halfSizeX="0.5" halfSizeY="0.25" halfSizeZ="1" rotationZAnticlockwiseFromX="30."/>
-  <VelocityRefinementCuboid frequency="10" centerX="0" centerY="0" centerZ="0" halfSizeX="0.1" halfSizeY="0.1" halfSizeZ="0.1" bypassFindRegionAndUseGroup="1"/>
+#: A settings document with every kind of element; @K@ stands for a number of its own.
+SETTINGS = """<?xml version="1.0"?><!-- settings of mesh @K@ -->
+<freeSurface>4</freeSurface><dynamicRupture>6, 1@K@</dynamicRupture><absorbing>7,8</absorbing>
+<boundaryCondition tag="71">2@K@</boundaryCondition><boundaryCondition tag="66">11,12</boundaryCondition>
+<globalMSize value="3@K@.5"/><gradation value="0.75"/><area_AspectRatio value="4"/><vol_AspectRatio value="6e1"/>
+<vertexMSize value="12">3,@K@</vertexMSize><edgeMSize value="7.5">9</edgeMSize><surfaceMSize value="1@K@">5,3</surfaceMSize><regionMSize value="8e2">2</regionMSize>
+<MeshSizePropagation Distance="25@K@" ScalingFactor="2.5">3,9</MeshSizePropagation>
+<SurfaceMeshing SmoothingLevel="4" SmoothingType="Laplacian" DiscreteAngle="7.5" Snap="0"/>
+<MeshRefinementZoneCube value="45@K@"><Center x="1" y="-2" z="@K@"/><HalfWidth x="3" y="0.5" z="0"/><HalfHeight x="0" y="4" z="0"/><HalfDepth x="0" y="0" z="5"/></MeshRefinementZoneCube>
+<UseDiscreteMesh noModification="1">8</UseDiscreteMesh><surfaceNoMesh>6,7</surfaceNoMesh><regionNoMesh>3</regionNoMesh>
+<VelocityAwareMeshing easiFile="ground@K@.yaml" elementsPerWaveLength="3">
+  <VelocityRefinementCuboid frequency="4" centerX="0.5" centerY="@K@" centerZ="-1" halfSizeX="2" halfSizeY="1.5" halfSizeZ="0.25" rotationZAnticlockwiseFromX="45"/>
+  <VelocityRefinementCuboid frequency="8" centerX="0" centerY="0.25" centerZ="0" halfSizeX="0.5" halfSizeY="0.5" halfSizeZ="0.75" bypassFindRegionAndUseGroup="2"/>
 </VelocityAwareMeshing>
 """
 
@@ -56,8 +56,8 @@ def _box(spark: SparkSession, sf_dir: str) -> Mesh:
 
 def _random_tets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Cells of four different vertices, and the vertices that embeddings' first coordinates are."""
-    p = F.col("p_partkey")
-    cells = table(spark, sf_dir, "part").select(p.alias("cell_id"), F.array(p % 500, (p * 7 + 1) % 500, (p * 13 + 2) % 500, (p * 29 + 3) % 500).alias("vertices"))
+    p, n = F.col("p_partkey"), table(spark, sf_dir, "embeddings").count()
+    cells = table(spark, sf_dir, "part").select(p.alias("cell_id"), F.array(p % n, (p * 7 + 1) % n, (p * 13 + 2) % n, (p * 29 + 3) % n).alias("vertices"))
     cells = cells.filter(F.size(F.array_distinct("vertices")) == 4)
     return cells, _points(spark, sf_dir).withColumnRenamed("point_id", "vertex_id")
 
@@ -305,7 +305,9 @@ def simplex_node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def xml_config_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return xmlconfig.config_of(spark.createDataFrame([(SETTINGS,)], "value string")).rows()
+    """The settings of a document for each nation, in which its key stands for @K@."""
+    documents = table(spark, sf_dir, "nation").select(F.replace(F.lit(SETTINGS), F.lit("@K@"), F.col("n_nationkey").cast("string")).alias("value"))
+    return xmlconfig.config_of(documents).rows()
 
 
 def _written(mesh: Mesh, text_of, name: str) -> str:
@@ -378,7 +380,7 @@ facets AS (SELECT cell_id * 4 + face AS facet_id, a, b, c, CASE WHEN c < 231 THE
 matched AS (SELECT f.cell_id, CAST(f.face AS INTEGER) AS face, CAST(coalesce(t.tag - 100, 0) AS INTEGER) AS bc FROM keyed f LEFT JOIN facets t ON f.a = t.a AND f.b = t.b AND f.c = t.c)"""
 _POINTS = "points AS (SELECT vec_id AS point_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"
 _RANDOM = f"""{_POINTS},
-tets AS (SELECT p_partkey AS cell_id, p_partkey % 500 AS v0, (p_partkey * 7 + 1) % 500 AS v1, (p_partkey * 13 + 2) % 500 AS v2, (p_partkey * 29 + 3) % 500 AS v3 FROM part),
+tets AS (SELECT p_partkey AS cell_id, p_partkey % n AS v0, (p_partkey * 7 + 1) % n AS v1, (p_partkey * 13 + 2) % n AS v2, (p_partkey * 29 + 3) % n AS v3 FROM part, (SELECT count(*) AS n FROM embeddings)),
 placed AS (SELECT cell_id, {", ".join(f"p{n}.x AS x{n}, p{n}.y AS y{n}, p{n}.z AS z{n}" for n in range(4))}
     FROM tets {" ".join(f"JOIN points p{n} ON p{n}.point_id = v{n}" for n in range(4))}
     WHERE v0 <> v1 AND v0 <> v2 AND v0 <> v3 AND v1 <> v2 AND v1 <> v3 AND v2 <> v3)"""
@@ -466,6 +468,21 @@ UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', cou
     "distinct_bc_types": f"WITH {_TAGGED} SELECT DISTINCT bc FROM tagged WHERE bc <> 0",
     "duplicate_faces": f"WITH {_BOX} SELECT a, b, c, CAST(2 AS BIGINT) AS n FROM facets WHERE facet_id % 10 = 0",
     "simplex_node_counts": "SELECT * FROM (VALUES " + ", ".join(f"({d}, {k + 1}, {code}, {simplex_nodes(d, k + 1)})" for d, codes in ELEMENT_TYPES.items() for k, code in enumerate(codes)) + ') t(dim, "order", type, nodes)',
+    # a nation's key stands in its document; what the document says, element by element
+    "xml_config_rows": """WITH keys AS (SELECT CAST(n_nationkey AS VARCHAR) AS k FROM nation),
+lists(kind, entity, ids, params) AS (
+    SELECT kind, entity, ids, replace(params, '@K@', k) FROM keys, LATERAL (VALUES
+        ('boundary condition', 'face', ['4'], '{"bc":1}'), ('boundary condition', 'face', ['6', '1' || k], '{"bc":3}'), ('boundary condition', 'face', ['7', '8'], '{"bc":5}'),
+        ('boundary condition', 'face', ['2' || k], '{"bc":71}'), ('boundary condition', 'face', ['11', '12'], '{"bc":66}'),
+        ('size', 'vertex', ['3', k], '{"size":12.0}'), ('size', 'edge', ['9'], '{"size":7.5}'), ('size', 'face', ['5', '3'], '{"size":1@K@.0}'), ('size', 'region', ['2'], '{"size":800.0}'),
+        ('list', 'face without mesh', ['6', '7'], '{}'), ('list', 'region without mesh', ['3'], '{}'), ('list', 'face with given mesh', ['8'], '{}'), ('list', 'face that sizes spread from', ['3', '9'], '{}'),
+        ('scalars', 'mesh', ['0'], '{"globalMSize":3@K@.5,"gradation":0.75,"area_AspectRatio":4.0,"vol_AspectRatio":60.0,"surface_smoothing_level":4,"surface_smoothing_type":"Laplacian","surface_angle":7.5,'
+            || '"surface_snap":0,"volume_smoothing_level":1,"volume_smoothing_type":"Gradient","volume_optimisation":1,"discrete_no_modification":1,"propagation_factor":2.5,"propagation_distance":25@K@.0}'),
+        ('cube', 'zone', ['0'], '{"ordinal":0,"size":45@K@.0,"center":[1.0,-2.0,@K@.0],"width":[3.0,0.5,0.0],"height":[0.0,4.0,0.0],"depth":[0.0,0.0,5.0]}'),
+        ('waves', 'mesh', ['0'], '{"easi_file":"ground@K@.yaml","elements_per_wave":3.0,"cuboids":2}'),
+        ('cuboid', 'zone', ['0'], '{"ordinal":0,"frequency":4.0,"cx":0.5,"cy":@K@.0,"cz":-1.0,"hx":2.0,"hy":1.5,"hz":0.25,"rotation":45.0,"bypass_group":0}'),
+        ('cuboid', 'zone', ['1'], '{"ordinal":1,"frequency":8.0,"cx":0.0,"cy":0.25,"cz":0.0,"hx":0.5,"hy":0.5,"hz":0.75,"rotation":0.0,"bypass_group":2}')) v(kind, entity, ids, params))
+SELECT kind, entity, CAST(unnest(ids) AS INTEGER) AS id, params FROM lists""",
     "gambit_roundtrip": _ROUND_TRIP,
     "msh2_roundtrip": _ROUND_TRIP,
     # the file lists cells group by group

@@ -7,6 +7,7 @@ from xml.sax.saxutils import quoteattr
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import compact_bytes
 from ..mesh import Mesh
@@ -56,18 +57,21 @@ def tables(mesh: Mesh, form: str = "i32") -> dict[str, DataFrame]:
 
 
 def compact(df: DataFrame, column: str) -> DataFrame:
-    """A non-negative integer column in the narrowest type that holds its largest value."""
-    width = df.agg(compact_bytes(F.coalesce(F.max(column), F.lit(0)).cast("bigint")).alias("n"), F.min(column).alias("low")).first()
-    if width["low"] is not None and width["low"] < 0:
+    """A column of non-negative integers, or of arrays of them, in the narrowest type that holds its largest value."""
+    many = isinstance(df.schema[column].dataType, T.ArrayType)
+    low, high = (F.array_min(column), F.array_max(column)) if many else (F.col(column), F.col(column))
+    bounds = df.agg(F.min(low).cast("bigint").alias("low"), F.coalesce(F.max(high), F.lit(0)).cast("bigint").alias("high")).first()
+    if bounds["low"] is not None and bounds["low"] < 0:
         return df
+    width = df.sparkSession.range(1).select(compact_bytes(F.lit(bounds["high"])).alias("n")).first()["n"]
     # types are signed: a value that needs all bits of a width goes one wider
-    most = df.agg(F.coalesce(F.max(column), F.lit(0)).alias("m")).first()["m"]
-    size = next((k for k in range(max(1, width["n"]), 9) if most < 1 << (8 * k - 1)), 8)
-    return df.withColumn(column, F.col(column).cast(_KINDS.get(size, "bigint")))
+    size = next((k for k in range(max(1, width), 9) if bounds["high"] < 1 << (8 * k - 1)), 8)
+    kind = _KINDS.get(size, "bigint")
+    return df.withColumn(column, F.col(column).cast(f"array<{kind}>" if many else kind))
 
 
 def xdmf(base: str, cells: int, vertices: int, form: str) -> str:
-    """The description of a mesh of tetrahedra."""
+    """The description of a mesh of tetrahedra as one HDF5 container would hold it; this sink's tables hold the same arrays by the same names."""
     precision, second = (8, "") if form == "i64" else (4, " 4" if form == "i32x4" else "")
 
     def item(kind: str, size: int, dims: str, name: str) -> str:
@@ -105,7 +109,7 @@ def write(mesh: Mesh, path: str, form: str = "i32", compactify: bool = False, co
     spark, form = mesh.cells.sparkSession, boundary_format(form)
     parts = tables(mesh, form)
     if compactify:
-        parts["group"] = compact(parts["group"], "group")
+        parts["group"], parts["connect"] = compact(parts["group"], "group"), compact(parts["connect"], "vertices")
     for name, df in parts.items():
         df.orderBy(df.columns[0]).write.mode("overwrite").option("compression", compression).option("maxRecordsPerFile", rows_a_file).parquet(f"{path}/{name}")
     size = spark.read.parquet(f"{path}/connect").select(F.count("*").alias("n"), F.max(F.size("vertices")).alias("k")).first()

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..mesh import Mesh
 from ..operators.groups import assign_groups
+from ..operators.numbering import numbered
 from ..operators.validate import require_empty
 from .lines import between, in_ranges, stored_lines, tokens
 
@@ -168,19 +169,28 @@ def text_of(mesh: Mesh) -> DataFrame:
     parts.append(mesh.cells.select((F.col("cell_id") + at).alias("line"), F.concat(F.lpad((F.col("cell_id") + 1).cast("string"), 10, " "), F.lit("  6  4 "), *ids).alias("value")))
     at += n_c
     put(END)
+    # rows in the order of their groups, or tags, and each one's first row and first line
+    places, before = [], 0
     for group, n in groups:
         put(f"       {GROUP} 2.0.0", f"GROUP: {group:10d} ELEMENTS: {n:10d} MATERIAL: 2.000 NFLAGS: 1", f"group {group}", "       0")
-        own = mesh.cells.filter(F.col("group") == group).select("cell_id", (F.row_number().over(Window.orderBy("cell_id")) - 1).alias("k"))
-        listed = own.groupBy(F.floor(F.col("k") / ELEMENTS_A_LINE).alias("row")).agg(F.array_sort(F.collect_list("cell_id")).alias("ids"))
-        parts.append(listed.select((F.col("row") + at).alias("line"), F.concat_ws("", F.transform("ids", lambda i: F.lpad((i + 1).cast("string"), 10, " "))).alias("value")))
-        at += -(-n // ELEMENTS_A_LINE)
+        places.append((group, before, at))
+        before, at = before + n, at + -(-n // ELEMENTS_A_LINE)
         put(END)
+    where = F.broadcast(spark.createDataFrame(places, "`group` int, first long, low long"))  # a row a group
+    own = numbered(mesh.cells.select(F.col("group").cast("int").alias("group"), "cell_id"), ["group", "cell_id"], "k").join(where, "group")
+    own = own.select((F.col("low") + F.floor((F.col("k") - F.col("first")) / ELEMENTS_A_LINE)).alias("line"), "cell_id")
+    listed = own.groupBy("line").agg(F.array_sort(F.collect_list("cell_id")).alias("ids"))
+    parts.append(listed.select("line", F.concat_ws("", F.transform("ids", lambda i: F.lpad((i + 1).cast("string"), 10, " "))).alias("value")))
+    places, before = [], 0
     for tag, n in tags:
         put(f" {BOUNDARY} 2.0.0", f"{tag + 100:32d}{1:8d}{n:10d}{0:8d}{6:8d}")
-        own = bcs.filter(F.col("bc") == tag).select("cell_id", "face", (F.row_number().over(Window.orderBy("cell_id", "face")) - 1).alias("k"))
-        parts.append(own.select((F.col("k") + at).cast("long").alias("line"), F.concat(F.lpad((F.col("cell_id") + 1).cast("string"), 10, " "), F.lit("     6"), F.lpad((F.col("face") + 1).cast("string"), 5, " ")).alias("value")))
-        at += n
+        places.append((tag, before, at))
+        before, at = before + n, at + n
         put(END)
+    if places:
+        where = F.broadcast(spark.createDataFrame(places, "bc int, first long, low long"))  # a row a tag
+        own = numbered(bcs.select(F.col("bc").cast("int").alias("bc"), "cell_id", "face"), ["bc", "cell_id", "face"], "k").join(where, "bc")
+        parts.append(own.select((F.col("low") + F.col("k") - F.col("first")).alias("line"), F.concat(F.lpad((F.col("cell_id") + 1).cast("string"), 10, " "), F.lit("     6"), F.lpad((F.col("face") + 1).cast("string"), 5, " ")).alias("value")))
     out = spark.createDataFrame(fixed, "line long, value string")
     for p in parts:
         out = out.unionByName(p)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..mesh import Mesh
@@ -14,6 +14,7 @@ from ..operators.groups import entity_tags
 from ..operators.numbering import numbered
 from ..operators.validate import require_contiguous, require_empty
 from ..schema import element_type, simplex_nodes
+from ..storage import stored
 from .lines import between, in_ranges, stored_lines, tokens
 
 
@@ -81,16 +82,18 @@ def entities(lines: DataFrame, part: Part) -> DataFrame:
     return both.filter("n > 0").select("dim", "entity_tag", F.col("tag").alias("physical_tag"))
 
 
-def _block_heads(words: DataFrame, first: int, lines_each: int) -> DataFrame:
+def _block_heads(words: DataFrame, part: Part, lines_each: int) -> DataFrame:
     """(line, h, n): heads of blocks, which follow each other: a head with n entries has lines_each * n lines below.
 
-    Only lines of four words can be heads. Which of them are is found by going through those in order, one row at
-    a time in one task, which keeps nothing but the line of the next head.
+    A head is four integers, the first of which is a dimension; so are few other lines (an element's number of
+    0 to 3 with three nodes, integer places on a curve with their parameter). Of these, which are as few as the file's blocks, the heads
+    are found by going through them in order, and written once.
     """
-    able = words.filter((F.size("w") == 4) & F.forall("w", lambda x: x.rlike("^[0-9]+$"))).select("line", F.transform("w", lambda x: x.try_cast("bigint")).alias("h"))
+    able = words.filter((F.size("w") == 4) & F.col("w")[0].isin("0", "1", "2", "3") & F.forall("w", lambda x: x.rlike("^[0-9]+$")))
+    able = able.select("line", F.transform("w", lambda x: x.try_cast("bigint")).alias("h")).filter(F.col("line") + 1 + lines_each * F.col("h")[3] <= part.end)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        due = first
+        due = part.first + 1
         for pdf in batches:
             rows = []
             for line, h in zip(pdf["line"], pdf["h"], strict=True):
@@ -99,7 +102,7 @@ def _block_heads(words: DataFrame, first: int, lines_each: int) -> DataFrame:
                     due += 1 + lines_each * int(h[3])
             yield pd.DataFrame(rows, columns=["line", "h", "n"])
 
-    return able.orderBy("line").coalesce(1).mapInPandas(run, "line long, h array<long>, n long")
+    return stored(able.orderBy("line").coalesce(1).mapInPandas(run, "line long, h array<long>, n long"), "heads")
 
 
 def _in_blocks(words: DataFrame, heads: DataFrame, lines_each: int) -> DataFrame:
@@ -111,7 +114,7 @@ def _in_blocks(words: DataFrame, heads: DataFrame, lines_each: int) -> DataFrame
 def nodes41(lines: DataFrame, part: Part) -> DataFrame:
     """Blocks of node tags, then as many lines of coordinates."""
     words = _words(lines, part, 1)
-    rows = _in_blocks(words, _block_heads(words, part.first + 1, 2), 2)
+    rows = _in_blocks(words, _block_heads(words, part, 2), 2)
     tag = rows.filter("at < n").select("head", F.col("at").alias("k"), (_integer(F.get("w", F.lit(0))) - 1).alias("vertex_id"))
     xyz = rows.filter("at >= n").select("head", (F.col("at") - F.col("n")).alias("k"), *[F.get("w", F.lit(i)).try_cast("double").alias(a) for i, a in enumerate("xyz")])
     return tag.join(xyz, ["head", "k"]).select("vertex_id", "x", "y", "z")
@@ -120,7 +123,7 @@ def nodes41(lines: DataFrame, part: Part) -> DataFrame:
 def elements41(lines: DataFrame, part: Part, tags: DataFrame) -> DataFrame:
     """(element, type, nodes, tag): entries of all blocks with their entity's physical tag, 0 without one."""
     words = _words(lines, part, 1)
-    rows = _in_blocks(words, _block_heads(words, part.first + 1, 1), 1)
+    rows = _in_blocks(words, _block_heads(words, part, 1), 1)
     ids = F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda x: x.try_cast("bigint") - 1)
     typed = rows.select(F.col("line").alias("element"), F.col("h")[0].cast("int").alias("dim"), F.col("h")[1].alias("entity_tag"), F.col("h")[2].cast("int").alias("type"), ids.alias("nodes"))
     return entity_tags(typed, tags).select("element", "type", "nodes", "tag")
@@ -151,7 +154,8 @@ def misshapen(elements: DataFrame, order: int) -> DataFrame:
 
 
 def build(vertices: DataFrame, elements: DataFrame, order: int) -> Mesh:
-    """Cells and facets among elements; cells are numbered in the order of the file."""
+    """Cells and facets among elements; cells are numbered in the order of the file. Both tables are written once, since checks read them, too."""
+    vertices, elements = stored(vertices, "nodes"), stored(elements, "elements")
     require_empty(vertices.filter("vertex_id is null or x is null or y is null or z is null"), "a node's line doesn't hold numbers")
     require_contiguous(vertices, "vertex_id", "node numbers must be 1 to the number of nodes")
     require_empty(misshapen(elements, order), "an element has too few or too many nodes")
@@ -193,8 +197,11 @@ def _assemble(spark: SparkSession, pieces: list) -> DataFrame:
     return out
 
 
-def _ranked(df: DataFrame, *by: str) -> DataFrame:
-    return df.withColumn("k", F.row_number().over(Window.orderBy(*by)) - 1)
+def _runs(df: DataFrame, group: str, by: str, ids: str) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """(k, entity, by, ids) in the order (group, by), and each group's rows; entity: the group's place from 0."""
+    sizes = [(r[group], r["n"]) for r in df.groupBy(group).agg(F.count("*").alias("n")).orderBy(group).collect()]
+    place = F.broadcast(df.sparkSession.createDataFrame([(g, i) for i, (g, _) in enumerate(sizes)], f"`{group}` {df.schema[group].dataType.simpleString()}, entity long"))  # a row a group
+    return numbered(df.select(group, by, ids), [group, by], "k").join(place, group).select("k", "entity", by, ids), sizes
 
 
 def text22(mesh: Mesh) -> DataFrame:
@@ -202,7 +209,7 @@ def text22(mesh: Mesh) -> DataFrame:
     spark, nv, nc, nf = mesh.vertices.sparkSession, mesh.vertices.count(), mesh.cells.count(), mesh.facets.count()
     node = mesh.vertices.select(F.col("vertex_id").alias("k"), F.concat_ws(" ", F.col("vertex_id") + 1, "x", "y", "z").alias("value"))
     ids = lambda c: F.concat_ws(" ", F.transform(c, lambda i: (i + 1).cast("string")))
-    facet = _ranked(mesh.facets, "facet_id").select("k", F.concat_ws(" ", F.col("k") + 1, F.lit(f"{element_type(2, mesh.order)} 2"), "tag", F.lit(1), ids("nodes")).alias("value"))
+    facet = numbered(mesh.facets, ["facet_id"], "k").select("k", F.concat_ws(" ", F.col("k") + 1, F.lit(f"{element_type(2, mesh.order)} 2"), "tag", F.lit(1), ids("nodes")).alias("value"))
     cell = mesh.cells.select(F.col("cell_id").alias("k"), F.concat_ws(" ", F.col("cell_id") + nf + 1, F.lit(f"{element_type(3, mesh.order)} 2"), "group", F.lit(1), ids("vertices")).alias("value"))
     return _assemble(spark, ["$MeshFormat", "2.2 0 8", "$EndMeshFormat", "$Nodes", str(nv), (node, nv), "$EndNodes", "$Elements", str(nf + nc), (facet, nf), (cell, nc), "$EndElements"])
 
@@ -210,18 +217,20 @@ def text22(mesh: Mesh) -> DataFrame:
 def text41(mesh: Mesh) -> DataFrame:
     """(line, value): the mesh in format 4.1, an entity for each tag and for each group."""
     spark, nv, nc, nf = mesh.vertices.sparkSession, mesh.vertices.count(), mesh.cells.count(), mesh.facets.count()
-    tags = [(r["tag"], r["n"]) for r in mesh.facets.groupBy("tag").agg(F.count("*").alias("n")).orderBy("tag").collect()]
-    groups = [(r["group"], r["n"]) for r in mesh.cells.groupBy("group").agg(F.count("*").alias("n")).orderBy("group").collect()]
+    (facets, tags), (cells, groups) = _runs(mesh.facets, "tag", "facet_id", "nodes"), _runs(mesh.cells, "group", "cell_id", "vertices")
     pieces: list = ["$MeshFormat", "4.1 0 8", "$EndMeshFormat", "$Entities", f"1 1 {len(tags)} {len(groups)}", "1 0 0 0 0", "1 0 0 0 1 0 0 0 0"]
     pieces += [f"{k + 1} 0 0 0 1 1 1 1 {t} 0" for k, (t, _) in enumerate(tags)] + [f"{k + 1} 0 0 0 1 1 1 1 {g} 0" for k, (g, _) in enumerate(groups)]
     tag = mesh.vertices.select(F.col("vertex_id").alias("k"), (F.col("vertex_id") + 1).cast("string").alias("value"))
     xyz = mesh.vertices.select(F.col("vertex_id").alias("k"), F.concat_ws(" ", "x", "y", "z").alias("value"))
     pieces += ["$EndEntities", "$Nodes", f"1 {nv} 1 {nv}", f"3 1 0 {nv}", (tag, nv), (xyz, nv), "$EndNodes", "$Elements", f"{len(tags) + len(groups)} {nf + nc} 1 {nf + nc}"]
     ids = lambda c: F.concat_ws(" ", F.transform(c, lambda i: (i + 1).cast("string")))
-    for e, (t, n) in enumerate(tags):
-        rows = _ranked(mesh.facets.filter(F.col("tag") == t), "facet_id").select("k", F.concat_ws(" ", F.col("facet_id") + 1, ids("nodes")).alias("value"))
-        pieces += [f"2 {e + 1} {element_type(2, mesh.order)} {n}", (rows, n)]
-    for e, (g, n) in enumerate(groups):
-        rows = _ranked(mesh.cells.filter(F.col("group") == g), "cell_id").select("k", F.concat_ws(" ", F.col("cell_id") + nf + 1, ids("vertices")).alias("value"))
-        pieces += [f"3 {e + 1} {element_type(3, mesh.order)} {n}", (rows, n)]
-    return _assemble(spark, [*pieces, "$EndElements"])
+    heads, before = [], 0
+    for dim, sizes in ((2, tags), (3, groups)):
+        for e, (_, n) in enumerate(sizes):
+            heads.append((before + len(heads), f"{dim} {e + 1} {element_type(dim, mesh.order)} {n}"))
+            before += n
+    # an element stands below the heads of all blocks up to its own
+    rows = spark.createDataFrame(heads, "k long, value string")
+    rows = rows.unionByName(facets.select((F.col("k") + F.col("entity") + 1).alias("k"), F.concat_ws(" ", F.col("facet_id") + 1, ids("nodes")).alias("value")))
+    rows = rows.unionByName(cells.select((F.col("k") + nf + len(tags) + F.col("entity") + 1).alias("k"), F.concat_ws(" ", F.col("cell_id") + nf + 1, ids("vertices")).alias("value")))
+    return _assemble(spark, [*pieces, (rows, before + len(heads)), "$EndElements"])

@@ -7,8 +7,8 @@ from pyspark.sql import SparkSession
 from ..mesh import Mesh
 from . import gambit, gmsh, partitioned
 
-#: Sources that need libraries or kernels that aren't open; meshes exported from them can be read as 'partitioned'.
-CLOSED = ("apf", "simmodsuite", "simmodsuite-apf")
+#: Sources that need kernels that aren't open, or a library that isn't here; meshes exported from them can be read as 'partitioned'.
+CLOSED, MISSING = ("apf", "simmodsuite", "simmodsuite-apf"), ("netcdf",)
 
 
 def _gmsh(major: int):
@@ -18,12 +18,14 @@ def _gmsh(major: int):
     return read
 
 
-READERS = {"gambit": gambit.read, "msh2": _gmsh(2), "msh4": _gmsh(4), "netcdf": partitioned.read, "partitioned": partitioned.read}
+READERS = {"gambit": gambit.read, "msh2": _gmsh(2), "msh4": _gmsh(4), "partitioned": partitioned.read}
 
 
 def read_mesh(spark: SparkSession, path: str, source: str = "gambit", **options) -> Mesh:
     if source in CLOSED:
         raise ValueError(f"source {source!r} needs a closed library; export its mesh to the partitioned tables")
+    if source in MISSING:
+        raise ValueError(f"source {source!r} needs a library that isn't here; export its variables to the partitioned tables")
     if source not in READERS:
         raise ValueError(f"unknown source {source!r}: one of {sorted(READERS)}")
     return READERS[source](spark, path, **options)

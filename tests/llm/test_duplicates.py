@@ -217,12 +217,14 @@ def passages(seed, n=40):
     return out
 
 
-@pytest.mark.parametrize("seed, buckets_bytes, slice_bytes, sorted_bytes", [(1, 1 << 25, 1 << 21, 1 << 20), (2, 200, 300, 400)])
-def test_repeats_equal_brute_force(spark, monkeypatch, seed, buckets_bytes, slice_bytes, sorted_bytes):
+@pytest.mark.parametrize("seed, buckets_bytes, slice_bytes, sorted_bytes, hot", [(1, 1 << 25, 1 << 21, 1 << 20, 64), (2, 200, 300, 400, 64), (3, 200, 300, 400, 0), (4, 1 << 25, 300, 1 << 20, 3)])
+def test_repeats_equal_brute_force(spark, monkeypatch, seed, buckets_bytes, slice_bytes, sorted_bytes, hot):
+    monkeypatch.setattr(suffixdup, "HOT_SLICES", hot)
     monkeypatch.setattr(suffixdup, "BUCKET_BYTES", buckets_bytes)
     monkeypatch.setattr(suffixdup, "SORTED_BYTES", sorted_bytes)
     monkeypatch.setattr(suffixdup, "SLICE_BYTES", slice_bytes)
-    texts = [None, "", "short", *passages(seed)]
+    line = "A line of more than a hundred bytes that each and every document has, whatever else it may hold, no doubt. "
+    texts = [None, "", "short", *passages(seed), *(f"{p[:50]}{k}{line}{k}{p[50:90]}" for k, p in enumerate(passages(seed + 50, 30)))]
     found = {r["doc_id"]: r for r in suffixdup.digest(documents(spark, texts), Scratch(spark, "t")).collect()}
     for k, (b, gone) in enumerate(brute_removed(texts)):
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)

@@ -37,6 +37,8 @@ REACH = LENGTH - GRAM + 1
 SLICE_BYTES = 1_000_000
 #: Text that one bucket's anchors stand for, at least as many buckets as shuffle partitions; and of contexts sorted at once.
 BUCKET_BYTES, SORTED_BYTES = 16_000_000, 400_000
+#: An anchor in more slices than this is split into anchors of LENGTH + 1 - SPLIT bytes, one for each SPLIT places it may have in a window.
+HOT_SLICES, SPLIT = 64, 16
 _KEY, _TEXT = "__key", "__text"
 
 
@@ -149,11 +151,43 @@ class Slice:
                 for at in (self.first, self.first + GRAM, end - GRAM, end):
                     code = textkit.mix((code ^ value[at]) * turn)
                 self.code = code
-        # anchors in the order of their buckets and values, the same whenever the slice is read
-        self.bucket = (self.value % np.uint64(buckets)).astype(np.int64)
+        self._buckets = buckets
+        self._sort()
+
+    def _sort(self) -> np.ndarray:
+        """Puts anchors into the order of their buckets and values, the same whenever the slice is read."""
+        self.bucket = (self.value % np.uint64(self._buckets)).astype(np.int64)
         order = np.lexsort((self.value, self.bucket))
         for name in ("doc", "first", "last", "anchor", "value", "code", "bucket"):
             setattr(self, name, getattr(self, name)[order])
+        return order
+
+    def marked(self, masks) -> np.ndarray:
+        """Which anchors occur twice somewhere, by the masks of repeated_anchors(); hot ones are split first.
+
+        Windows are equal only if their anchors have the same place in them. So those of SPLIT successive places are a
+        group of their own, told by all bytes that they share: no pair of equal windows is parted.
+        """
+        *_, which = self.distinct()
+        repeated, hot = (bits[which] if len(bits) else np.zeros(len(which), bool) for bits in (_joined(masks, "mask"), _joined(masks, "hot")))
+        split = np.flatnonzero(hot)
+        if not len(split):
+            return repeated
+        text, kept = textkit.Bytes(self.buf), np.flatnonzero(~hot)
+        parts = [{name: getattr(self, name)[kept] for name in ("doc", "first", "last", "anchor", "value", "code")}]
+        flags = [repeated[kept]]
+        for low in range(0, REACH, SPLIT):
+            high = low + SPLIT - 1
+            at = split[(self.anchor[split] - self.last[split] <= high) & (self.anchor[split] - self.first[split] >= low)]
+            anchor = self.anchor[at]
+            first, last = np.maximum(self.first[at], anchor - high), np.minimum(self.last[at], anchor - low)
+            value = textkit.mix(text.hashes(anchor - low, anchor - high + LENGTH) + textkit.STEP[low // SPLIT] ^ self.value[at])
+            code = textkit.mix(text.hashes(first, last + LENGTH) + (anchor - first).astype(np.uint64))
+            parts.append({"doc": self.doc[at], "first": first, "last": last, "anchor": anchor, "value": value, "code": code})
+            flags.append(np.ones(len(at), bool))
+        for name in parts[0]:
+            setattr(self, name, np.concatenate([x[name] for x in parts]))
+        return np.concatenate(flags)[self._sort()]
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Buckets, values and whether they occur again, of distinct anchors; and each anchor's distinct one."""
@@ -212,9 +246,9 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
             yield int(bucket[a]), slice(int(a), int(b))
 
 
-def _joined(masks) -> np.ndarray:
+def _joined(masks, name: str) -> np.ndarray:
     """Bits of a slice's masks, in the order of their buckets."""
-    parts = [np.unpackbits(np.frombuffer(m["mask"], np.uint8))[: m["n"]] for m in sorted(masks if masks is not None else [], key=lambda m: m["bucket"])]
+    parts = [np.unpackbits(np.frombuffer(m[name], np.uint8))[: m["n"]] for m in sorted(masks if masks is not None else [], key=lambda m: m["bucket"])]
     return np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)
 
 
@@ -231,17 +265,19 @@ def anchors_of(slices: DataFrame, buckets: int) -> DataFrame:
 
 
 def repeated_anchors(anchors: DataFrame) -> DataFrame:
-    """(slice, bucket, n, mask): which of a slice's distinct anchors occur twice or more in the corpus."""
+    """(slice, bucket, n, mask, hot): which of a slice's distinct anchors occur twice or more in the corpus, and which in more than HOT_SLICES slices."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         values = [np.frombuffer(x, np.uint64) for x in pdf["anchors"]]
         flags = [np.unpackbits(np.frombuffer(a, np.uint8))[: len(v)].astype(bool) for a, v in zip(pdf["again"], values, strict=True)]
-        every = np.sort(np.concatenate(values + [v[f] for v, f in zip(values, flags, strict=True)]))
-        often = np.unique(every[1:][every[1:] == every[:-1]])
-        masks = [np.isin(v, often, assume_unique=True) for v in values]
-        return pd.DataFrame({"slice": pdf["slice"], "bucket": pdf["bucket"], "n": [len(m) for m in masks], "mask": [np.packbits(m).tobytes() for m in masks]})
+        known, slices = np.unique(np.concatenate(values), return_counts=True)
+        often = slices > 1
+        often[np.searchsorted(known, np.concatenate([v[f] for v, f in zip(values, flags, strict=True)]))] = True
+        at = [np.searchsorted(known, v) for v in values]
+        masks = [[np.packbits(x[i]).tobytes() for i in at] for x in (often, slices > HOT_SLICES)]
+        return pd.DataFrame({"slice": pdf["slice"], "bucket": pdf["bucket"], "n": [len(v) for v in values], "mask": masks[0], "hot": masks[1]})
 
-    return anchors.groupBy("bucket").applyInPandas(run, "slice long, bucket int, n int, mask binary")
+    return anchors.groupBy("bucket").applyInPandas(run, "slice long, bucket int, n int, mask binary, hot binary")
 
 
 def contexts_of(slices: DataFrame, buckets: int) -> DataFrame:
@@ -253,9 +289,7 @@ def contexts_of(slices: DataFrame, buckets: int) -> DataFrame:
         for pdf in batches:
             for key, body, masks in zip(pdf["slice"], pdf["body"], pdf["anchor_masks"], strict=True):
                 s = Slice(body, buckets)
-                *_, which = s.distinct()
-                bits = _joined(masks)
-                at, code, lead, (ids, ties) = s.contexts(bits[which] if len(bits) else np.zeros(len(which), bool))
+                at, code, lead, (ids, ties) = s.contexts(s.marked(masks))
                 at, code = at[lead], code[lead]
                 rows = []
                 for b, x in _by_bucket(s.bucket[at]):
@@ -347,9 +381,7 @@ def later_windows(contexts: DataFrame) -> DataFrame:
 
 def covered(s: Slice, anchor_masks, window_masks) -> np.ndarray:
     """Which bytes of the slice windows that start earlier elsewhere cover."""
-    *_, which = s.distinct()
-    bits = _joined(anchor_masks)
-    at, _, lead, _ = s.contexts(bits[which] if len(bits) else np.zeros(len(which), bool))
+    at, _, lead, _ = s.contexts(s.marked(anchor_masks))
     starts = np.zeros(len(s.buf) + 1, np.int32)
     if len(at):
         windows = np.concatenate([np.frombuffer(m["windows"], np.uint64) for m in sorted(window_masks, key=lambda m: m["bucket"])])
@@ -386,7 +418,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
         return df.groupBy("slice").agg(F.collect_list(F.struct("bucket", *columns)).alias(name))
 
     repeated = scratch.save(repeated_anchors(anchors_of(slices, buckets)), "repeated")
-    marked = slices.join(masks(repeated, "anchor_masks", "n", "mask"), "slice", "left")
+    marked = slices.join(masks(repeated, "anchor_masks", "n", "mask", "hot"), "slice", "left")
     windows = scratch.save(later_windows(contexts_of(marked, buckets)), "windows")
     marked = marked.join(masks(windows, "window_masks", "windows"), "slice", "left")
 

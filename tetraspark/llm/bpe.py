@@ -36,6 +36,8 @@ COMMON_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|
 LATIN_PRETOKENS = re.compile(f" ?[{LETTERS}]+| ?[{NUMBERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{LATIN_SPACE}{LETTERS}{NUMBERS}]+|[{LATIN_SPACE}]+(?![^{LATIN_SPACE}])|[{LATIN_SPACE}]+")
 #: Bytes of memory for pre-tokens that a worker has met, and as many for those met longer ago.
 REMEMBERED = 80 << 20
+#: Characters from which on a text's pre-tokens aren't listed all at once.
+LONG = 1 << 20
 
 
 class Remembered(dict):
@@ -75,6 +77,11 @@ def within_latin1(text: str) -> bool:
     return True
 
 
+def pieces_of(pattern, text: str):
+    """All matches, those of a long text one at a time."""
+    return pattern.findall(text) if len(text) < LONG else (m.group() for m in pattern.finditer(text))
+
+
 class Vocabulary:
     """Ranks with, for each token, the two tokens whose merge made it."""
 
@@ -185,7 +192,7 @@ class Codec:
     def encode_bytes(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         fast = self._latin is not None and within_latin1(text)
-        return b"".join(map(self._pretokens.__getitem__, (self._latin if fast else self.pattern).findall(text)))
+        return b"".join(map(self._pretokens.__getitem__, pieces_of(self._latin if fast else self.pattern, text)))
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids.tolist()))

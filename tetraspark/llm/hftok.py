@@ -11,12 +11,13 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 
 from . import textkit
-from .bpe import CHUNKS, LATIN_PRETOKENS, LATIN_SPACE, LETTERS, NUMBERS, REMEMBERED, Remembered, within_latin1
+from .bpe import CHUNKS, LATIN_PRETOKENS, LATIN_SPACE, LETTERS, NUMBERS, REMEMBERED, Remembered, pieces_of, within_latin1
 
 #: Pre-tokens of the vocabulary that drops white space and case.
 LATIN_WORDS = re.compile(f"[{LETTERS}]+|[{NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^{LATIN_SPACE}{LETTERS}{NUMBERS}]+")
@@ -71,6 +72,18 @@ def pretokens(buf: np.ndarray, offsets: np.ndarray, words: bool) -> tuple[np.nda
     return at, end, np.searchsorted(at, offsets)
 
 
+_BEFORE_SPACE = re.compile(f"(?<=[^{LATIN_SPACE}])[{LATIN_SPACE}]")
+
+
+def _stretches(text: str) -> Iterator[str]:
+    """A text, cut into stretches of about SLICE_BYTES if it is longer, where white space follows other characters: a pre-token ends there."""
+    at = 0
+    while len(text) - at > SLICE_BYTES and (found := _BEFORE_SPACE.search(text, at + SLICE_BYTES)):
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:] if at else text
+
+
 class ChunkEncoder:
     """words: the vocabulary drops white space and case."""
 
@@ -102,25 +115,26 @@ class ChunkEncoder:
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Each text's ids as little-endian unsigned 32-bit integers; works on about SLICE_BYTES at a time."""
-        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
+        out: list[list[np.ndarray]] = [[] for _ in texts]
         held: list[bytes] = []
         places: list[int] = []
         size = 0
         for i, text in enumerate(texts):
             if not within_latin1(text) or _SPECIAL in text:
-                out[i] = np.frombuffer(b"".join(map(self._chunks.__getitem__, CHUNKS.findall(text))), "<u4")
+                out[i].append(np.frombuffer(b"".join(map(self._chunks.__getitem__, pieces_of(CHUNKS, text))), "<u4"))
                 continue
-            held.append((text.lower() if self._words else text).encode("latin-1"))
-            places.append(i)
-            size += len(held[-1])
-            if size >= SLICE_BYTES:
-                self._encode_latin(held, places, out)
-                held, places, size = [], [], 0
+            for piece in _stretches(text):
+                held.append((piece.lower() if self._words else piece).encode("latin-1"))
+                places.append(i)
+                size += len(held[-1])
+                if size >= SLICE_BYTES:
+                    self._encode_latin(held, places, out)
+                    held, places, size = [], [], 0
         if held:
             self._encode_latin(held, places, out)
-        return out
+        return [np.concatenate(x) if len(x) > 1 else x[0] if x else np.zeros(0, "<u4") for x in out]
 
-    def _encode_latin(self, texts: list[bytes], places: list[int], out: list[np.ndarray]) -> None:
+    def _encode_latin(self, texts: list[bytes], places: list[int], out: list[list[np.ndarray]]) -> None:
         data = b"".join(texts)
         if not data:
             return
@@ -136,7 +150,7 @@ class ChunkEncoder:
         every = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - total[:-1], count) + np.arange(total[-1])]
         bounds = total[first]
         for i, a, b in zip(places, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            out[i] = every[a:b]
+            out[i].append(every[a:b])
 
 
 @cache

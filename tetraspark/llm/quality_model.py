@@ -23,6 +23,8 @@ MODULUS, REMAINDER, THRESHOLD = 5, 0, 0.3
 SAMPLE_ROWS, SAMPLE_CHARS = 3000, 12_000_000
 #: Text whose tokens' full vectors are held at once in fitting.
 FITTED_BYTES = 1 << 18
+#: Tokens of a text beyond which their rows are summed piece by piece.
+LONG_TOKENS = 1 << 20
 #: Tokens with a vector of their own, and what a vector and an index vector have.
 VOCABULARY, DIMENSIONS, NONZERO, REACH = 20_000, 128, 8, 2
 HIDDEN, EPOCHS, RATE, DECAY = 32, 300, 0.01, 1e-3
@@ -49,7 +51,7 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     start = np.flatnonzero(first)
     end = np.append(start[1:], len(buf))
     start, end = start[kind[start] > 0], end[kind[start] > 0]
-    upper = np.concatenate([[0], np.cumsum(_UPPER[buf])])
+    upper = np.concatenate([[0], np.cumsum(_UPPER[buf], dtype=np.int32)])
     capitals = (upper[end] - upper[start] >= 2) & (upper[end] - upper[start] == end - start)
     kinds = np.where(capitals, 1, np.where(kind[start] == 1, 0, kind[start] - 1)).astype(np.int8)
     hashes = textkit.Bytes(buf, lower=True).hashes(start, end) + capitals.astype(np.uint64)
@@ -120,7 +122,9 @@ def _pooled(ids: np.ndarray, first: np.ndarray, rows: np.ndarray) -> np.ndarray:
     out = np.zeros((len(first) - 1, rows.shape[1]), np.float32)
     n = np.diff(first)
     full = np.flatnonzero(n)
-    if len(full):
+    if len(n) == 1 and n[0] > LONG_TOKENS:  # a long text has a slice of its own
+        out[0] = sum(rows[ids[a : a + LONG_TOKENS]].sum(axis=0, dtype=np.float64) for a in range(0, len(ids), LONG_TOKENS)) / n[0]
+    elif len(full):
         out[full] = np.add.reduceat(rows[ids], first[full], axis=0) / n[full, None]
     return out
 

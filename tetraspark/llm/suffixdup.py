@@ -35,6 +35,8 @@ LENGTH, GRAM = 100, 40
 #: Starts of windows that may share an anchor.
 REACH = LENGTH - GRAM + 1
 SLICE_BYTES = 1_000_000
+#: Windows whose anchors are looked for at once, in about 60 bytes of memory each; a longer text takes several bytes a byte beside.
+STRETCH = 1_000_000
 #: Text that one bucket's anchors stand for, at least as many buckets as shuffle partitions; and of contexts sorted at once.
 BUCKET_BYTES, SORTED_BYTES = 16_000_000, 400_000
 #: An anchor in more slices than this is split into anchors of LENGTH + 1 - SPLIT bytes, one for each SPLIT places it may have in a window.
@@ -118,42 +120,46 @@ class Slice:
     def __init__(self, body: bytes, buckets: int):
         self.batch = pa.ipc.open_stream(body).read_next_batch()
         self.buf, self.offsets = textkit.utf8(self.batch.column(_TEXT))
-        buf, n = self.buf, len(self.buf)
         size = np.diff(self.offsets)
-        self.doc = np.zeros(0, np.int64)
-        self.first = self.last = self.anchor = np.zeros(0, np.int64)
-        self.value = self.code = np.zeros(0, np.uint64)
-        if n >= LENGTH:
-            place, eights = np.arange(n - GRAM + 1), textkit.Bytes(buf).eights.copy()
-            value = textkit.mix(sum(eights[j : j + len(place)] * textkit.STEP[j // 8] for j in range(0, GRAM, 8)))
-            del eights
-            # the least hash of the next REACH places, of equal ones the first: 32 bits of hash before the place
-            least = (value & ~np.uint64(0xFFFFFFFF)) | place.astype(np.uint64)
-            width = 1
-            while width < REACH:
-                step = min(width, REACH - width)
-                least = np.minimum(least[:-step], least[step:])
-                width += step
-            at = least.astype(np.uint32)
-            room = np.maximum(size - LENGTH + 1, 0)
-            ends = np.cumsum(room)
-            start = np.arange(ends[-1]) + np.repeat(self.offsets[:-1] - (ends - room), room)
-            doc = np.repeat(np.arange(len(size)), room)
-            anchor = at[start].astype(np.int64)
-            if len(start):
-                cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])) + 1
-                lead = np.concatenate([[0], cut])
-                self.first, self.last, self.anchor, self.doc = start[lead], start[np.append(cut, len(start)) - 1], anchor[lead], doc[lead]
-                self.value = value[self.anchor]
-                # windows of an anchor cover less than four grams
-                end, turn = self.last + LENGTH - GRAM, np.uint64(0x9E3779B97F4A7C15)
-                code = (end - self.first).astype(np.uint64) + (self.anchor - self.first).astype(np.uint64) * turn
-                for at in (self.first, self.first + GRAM, end - GRAM, end):
-                    code = textkit.mix((code ^ value[at]) * turn)
-                self.code = code
+        room = np.maximum(size - LENGTH + 1, 0)
+        ends = np.cumsum(room)
+        # places of windows, in stretches whatever the texts' lengths
+        parts = [self._stretch(c, min(c + STRETCH, int(ends[-1])), room, ends) for c in range(0, int(ends[-1]) if len(ends) else 0, STRETCH)]
+        names = ("doc", "first", "last", "anchor", "value", "code")
+        kinds = [np.int64] * 4 + [np.uint64] * 2
+        for k, name in enumerate(names):
+            setattr(self, name, np.concatenate([np.zeros(0, kinds[k]), *[p[k] for p in parts]]))
         self._buckets = buckets
         self._sort()
 
+    def _stretch(self, low: int, high: int, room: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """doc, first, last, anchor, value and code of the anchors of windows low to high - 1, counted over all documents with room for one."""
+        nth = np.arange(low, high)
+        doc = np.searchsorted(ends, nth, side="right")
+        start = self.offsets[doc] + nth - (ends[doc] - room[doc])
+        a, b = int(start[0]), int(start[-1]) + LENGTH
+        start -= a
+        place, eights = np.arange(b - a - GRAM + 1), textkit.Bytes(self.buf[a:b]).eights.copy()
+        value = textkit.mix(sum(eights[j : j + len(place)] * textkit.STEP[j // 8] for j in range(0, GRAM, 8)))
+        del eights
+        # the least hash of the next REACH places, of equal ones the first: 32 bits of hash before the place
+        least = (value & ~np.uint64(0xFFFFFFFF)) | place.astype(np.uint64)
+        width = 1
+        while width < REACH:
+            step = min(width, REACH - width)
+            least = np.minimum(least[:-step], least[step:])
+            width += step
+        anchor = least.astype(np.uint32)[start].astype(np.int64)
+        cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])) + 1
+        lead = np.concatenate([[0], cut])
+        first, last, anchor = start[lead], start[np.append(cut, len(start)) - 1], anchor[lead]
+        # windows of an anchor cover less than four grams
+        end, turn = last + LENGTH - GRAM, np.uint64(0x9E3779B97F4A7C15)
+        code = (end - first).astype(np.uint64) + (anchor - first).astype(np.uint64) * turn
+        for at in (first, first + GRAM, end - GRAM, end):
+            code = textkit.mix((code ^ value[at]) * turn)
+        return [doc[lead], first + a, last + a, anchor + a, value[anchor], code]
+
     def _sort(self) -> np.ndarray:
         """Puts anchors into the order of their buckets and values, the same whenever the slice is read."""
         self.bucket = (self.value % np.uint64(self._buckets)).astype(np.int64)
@@ -391,7 +397,7 @@ def covered(s: Slice, anchor_masks, window_masks) -> np.ndarray:
         nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         on = (np.repeat(mask, n) >> nth.astype(np.uint64)) & np.uint64(1) == 1
         starts[np.repeat(s.first[at], n)[on] + nth[on]] = 1
-    total = np.cumsum(starts[: len(s.buf)])
+    total = np.cumsum(starts[: len(s.buf)], dtype=np.int32)
     total[LENGTH:] -= total[:-LENGTH].copy() if len(total) > LENGTH else 0
     return total > 0
 
@@ -436,9 +442,9 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
                 edge[1:] &= ~gone[:-1]
                 starts = s.offsets[:-1][np.diff(s.offsets) > 0]
                 edge[starts] = gone[starts]
-                sums = [np.concatenate([[0], np.cumsum(x)]) for x in (gone, edge)]
+                count = lambda x: pa.array([int(np.count_nonzero(x[i:j])) for i, j in zip(s.offsets[:-1], s.offsets[1:], strict=True)], pa.int64())  # noqa: B023, E731
                 kept = [s.buf[i:j][~gone[i:j]].tobytes() for i, j in zip(s.offsets[:-1], s.offsets[1:], strict=True)]
-                columns = [s.batch.column(_KEY), pa.array(np.diff(s.offsets)), *[pa.array(np.diff(x[s.offsets]), pa.int64()) for x in sums], pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+                columns = [s.batch.column(_KEY), pa.array(np.diff(s.offsets)), count(gone), count(edge), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
                 if with_text:
                     columns += [s.batch.column("doc"), pa.array([k.decode(errors="ignore") for k in kept], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])

@@ -99,7 +99,7 @@ class Vocabulary:
                 self.pairs[parts[0], parts[1]] = rank
         #: Tokens that the merges never make, though they have a rank.
         self.unreachable = {r for t, r in ranks.items() if len(t) > 1 and self.left[r] == r}
-        self.follows = Remembered(self._follows)
+        self.follows = Remembered(self._follows, REMEMBERED // 4)
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:

@@ -85,9 +85,9 @@ def _stretches(text: str) -> Iterator[str]:
 
 
 class ChunkEncoder:
-    """words: the vocabulary drops white space and case."""
+    """words: the vocabulary drops white space and case. remembered: bytes of pre-tokens, see bpe.Remembered."""
 
-    def __init__(self, path: str, words: bool = False):
+    def __init__(self, path: str, words: bool = False, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -96,8 +96,8 @@ class ChunkEncoder:
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self._alphabet = {c: as_bytes(chr(c))[0][0] for c in range(256)}
         self._blank = self._alphabet[32]
-        self._pretokens = Remembered(self._pretoken)
-        self._chunks = Remembered(self._chunk, REMEMBERED // 8)
+        self._pretokens = Remembered(self._pretoken, remembered)
+        self._chunks = Remembered(self._chunk, remembered // 8)
         self._words = words
 
     def _pretoken(self, piece: bytes) -> bytes:
@@ -154,6 +154,6 @@ class ChunkEncoder:
 
 
 @cache
-def chunk_encoder(path: str, words: bool = False) -> ChunkEncoder:
+def chunk_encoder(path: str, words: bool = False, remembered: int = REMEMBERED) -> ChunkEncoder:
     """One a worker."""
-    return ChunkEncoder(path, words)
+    return ChunkEncoder(path, words, remembered)

@@ -22,6 +22,10 @@ from .memory import tidy
 from .scratch import Scratch
 
 
+#: Bytes of pre-tokens that a worker remembers, twice over: less than elsewhere, as workers that rest between a pipeline's stages keep them.
+REMEMBERED = 28 << 20
+
+
 class CapacityTree:
     """Open windows by remaining capacity; a segment tree finds the least capacity that is large enough."""
 
@@ -103,7 +107,7 @@ def cut(docs: DataFrame, path: str, end_id: int, window: int, id_col: str, text_
 
     @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, part, seen = chunk_encoder(path, True), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
+        encoder, part, seen = chunk_encoder(path, True, REMEMBERED), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
         for pdf in batches:
             rows = []

@@ -202,6 +202,40 @@ def test_windows_cover_whole_texts():
     assert len(d.gains(b"a" * 1000)[0]) == 0 and len(d.gains(b"")[0]) == 0
 
 
+def every_window(d, data):
+    """What the toxic dictionary saves on the window at each byte, all of them compressed."""
+    ordinary, toxic = toxicity._length_under(b"\x01" * (1 + len(d.toxic)) + d.ordinary), toxicity._length_under(b"\x01" + d.toxic + d.ordinary)
+    return [ordinary(data[a : a + toxicity.WINDOW]) - toxic(data[a : a + toxicity.WINDOW]) for a in range(len(data))]
+
+
+def test_no_window_is_left_out():
+    """What counts of a text is what compressing all its windows, one at each byte, gives."""
+    frame = labelled_frame("toxic")
+    model = toxicity.fit(frame[["text", "label"]])
+    seen = 0
+    for text in [*frame["text"][frame["label"] == 1][:6], *frame["text"][:6], *odd_texts()]:
+        data = toxicity.plain(text or "")[:4000]
+        wanted, (gains, windows) = every_window(model.dictionaries, data), model.dictionaries.gains(data)
+        assert windows == len(data) and sorted(g for g in wanted if g) == sorted(g for g in gains.tolist() if g)
+        seen += sum(g > 0 for g in wanted)
+    assert seen > 20
+    # texts of few letters, of which dictionaries share much
+    rnd = random.Random(6)
+    made = lambda n: "".join(rnd.choices("ab c", (6, 4, 2, 1), k=n)).encode()
+    for _ in range(12):
+        toxic, ordinary = b"".join(made(rnd.randint(5, 60)) + b"\x01" for _ in range(30)), made(rnd.choice((40, 400, 3000)))
+        d = toxicity.Dictionaries(toxicity._telling(toxic, ordinary), toxic, ordinary)
+        data = made(400) + toxic[:100].replace(b"\x01", b" ") + ordinary[:100]
+        assert sorted(g for g in every_window(d, data) if g) == sorted(g for g in d.gains(data)[0].tolist() if g)
+
+
+def test_a_stretch_counts_the_same_wherever_it_stands():
+    known = [toxicity.Known(5, np.array([int.from_bytes(b"qjkvz", "little")], np.uint64))]
+    d = toxicity.Dictionaries(known, b" qjkvz wyxu \x01", b"the of and ")
+    found = {tuple(d.gains(b"e" * (30 + k) + b" qjkvz wyxu " + b"e" * 60)[0].tolist()) for k in range(24)}
+    assert len(found) == 1 and max(found.pop()) > 0
+
+
 def test_samples_are_bounded_and_have_one_row_an_id(spark):
     texts = [("x" * 10 * (k % 7 + 1)) + str(k) for k in range(60)]
     docs = documents(spark, texts).unionByName(documents(spark, ["repeated"]).withColumn("doc_id", F.lit(7)).crossJoin(spark.range(3000).select()))

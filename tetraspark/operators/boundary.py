@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import BOUNDARY_SHIFT, boundary_format
+from .dealing import joined
 
 
 def in_range(bc: Column, form: str) -> Column:
@@ -28,14 +29,14 @@ def encode(face_bcs: DataFrame, cells: DataFrame, form: str = "i32") -> DataFram
         one = face_bcs.groupBy("cell_id", "face").agg(last.alias("bc"))
         sides = one.groupBy("cell_id").agg(*[F.max(F.when(F.col("face") == k, F.col("bc"))).alias(f"b{k}") for k in range(4)])
         listed = F.array(*[F.coalesce(F.col(f"b{k}"), F.lit(0)).cast("int") for k in range(4)])
-        return cells.select("cell_id").join(sides, "cell_id", "left").select("cell_id", listed.alias("boundary"))
+        return joined(cells.select("cell_id"), sides, ["cell_id"], "left").select("cell_id", listed.alias("boundary"))
     kind = "int" if form == "i32" else "bigint"
     checked = F.when(in_range(F.col("bc"), form), F.col("bc")).otherwise(F.raise_error(F.lit(f"a boundary tag doesn't fit {form}")).cast("int")).cast(kind)
     moved = F.when(F.col("face") == 0, checked)
     for k in range(1, 4):
         moved = moved.when(F.col("face") == k, F.shiftleft(checked, shift * k))
     packed = face_bcs.filter("bc <> 0").groupBy("cell_id").agg(F.bit_or(moved).alias("boundary"))
-    return cells.select("cell_id").join(packed, "cell_id", "left").select("cell_id", F.coalesce("boundary", F.lit(0).cast(kind)).alias("boundary"))
+    return joined(cells.select("cell_id"), packed, ["cell_id"], "left").select("cell_id", F.coalesce("boundary", F.lit(0).cast(kind)).alias("boundary"))
 
 
 def decode(boundary: DataFrame, form: str = "i32") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .dealing import dealt, joined
+
 AXES = ("x", "y", "z")
 
 
@@ -12,17 +14,18 @@ def folded_corners(cells: DataFrame, vertices: DataFrame) -> DataFrame:
     """(cell_id, x0, y0, z0 to x3, y3, z3): coordinates of cells' four corners.
 
     One join for all corners: cells are unfolded by corner, joined and folded again by cell, so the vertex
-    table moves once, not four times. Corners are a cell's first four nodes, whatever its order. Cells with a
+    table moves once, not four times. Corners are dealt by vertex and by cell to tasks of bounded size. Corners are a cell's first four nodes, whatever its order. Cells with a
     corner that isn't there keep nulls.
     """
     corners = cells.select("cell_id", F.posexplode(F.slice("vertices", 1, 4)).alias("corner", "vertex_id"))
-    found = corners.join(vertices.select("vertex_id", *AXES), "vertex_id", "left")
+    rows = 4 * cells.count()
+    found = dealt(joined(corners, vertices.select("vertex_id", *AXES), ["vertex_id"], "left", rows), rows, "cell_id")
     return found.groupBy("cell_id").agg(*[F.max(F.when(F.col("corner") == k, F.col(a))).alias(f"{a}{k}") for k in range(4) for a in AXES])
 
 
 def corner_coordinates(cells: DataFrame, vertices: DataFrame) -> DataFrame:
     """cells with the columns of folded_corners()."""
-    return cells.join(folded_corners(cells, vertices), "cell_id")
+    return joined(cells, folded_corners(cells, vertices), ["cell_id"])
 
 
 def _edge(a: int, b: int) -> tuple[str, str, str]:

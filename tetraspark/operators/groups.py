@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dealing import joined
+
 
 def assign_groups(cells: DataFrame, element_groups: DataFrame) -> DataFrame:
     """cells with the group listed for each, 0 for those that no list has; of several the last by `ordinal`, else the greatest."""
     pick = F.max_by("group", "ordinal") if "ordinal" in element_groups.columns else F.max("group")
     one = element_groups.groupBy("cell_id").agg(pick.cast("int").alias("found"))
     rest = [c for c in cells.columns if c != "group"]
-    return cells.join(one, "cell_id", "left").select(*rest, F.coalesce("found", F.lit(0)).alias("group"))
+    return joined(cells, one, ["cell_id"], "left").select(*rest, F.coalesce("found", F.lit(0)).alias("group"))
 
 
 def entity_tags(elements: DataFrame, entities: DataFrame) -> DataFrame:

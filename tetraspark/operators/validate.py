@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .dealing import joined
+
 
 def dangling_corners(cells: DataFrame, vertices: DataFrame) -> DataFrame:
     """(cell_id, corner, vertex_id) of corners whose vertex isn't there."""
     corners = cells.select("cell_id", F.posexplode("vertices").alias("corner", "vertex_id"))
-    return corners.join(vertices.select("vertex_id"), "vertex_id", "left_anti").select("cell_id", "corner", "vertex_id")
+    return joined(corners, vertices.select("vertex_id"), ["vertex_id"], "left_anti").select("cell_id", "corner", "vertex_id")
 
 
 def unknown_ids(used: DataFrame, known: DataFrame, column: str) -> DataFrame:

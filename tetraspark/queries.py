@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from .functions import scalars
 from .mesh import Mesh
 from .operators import boundary, faces, geometry, groups, quality, sizing, validate, vertices
+from .operators.dealing import dealt, joined
+from .operators.numbering import numbered
 from .schema import ELEMENT_TYPES, simplex_nodes
 from .sinks import columnar
 from .sources import gambit, gmsh, partitioned, xmlconfig
 from .sources.boxmesh import TETRAHEDRA, box
 from .sources.tables import table
-from .storage import working_folder
+from .storage import stored, working_folder
 from .streaming.monitor import group_counts
 
 #: A settings document with every kind of element; @K@ stands for a number of its own.
@@ -312,7 +314,7 @@ def xml_config_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _written(mesh: Mesh, text_of, name: str) -> str:
     folder = working_folder(mesh.cells.sparkSession, name)
-    text_of(mesh).orderBy("line").select("value").coalesce(1).write.text(folder)
+    text_of(mesh).orderBy("line").select("value").write.text(folder)
     return folder
 
 
@@ -320,12 +322,12 @@ def _read_back(mesh: Mesh) -> DataFrame:
     """Cells with their corners' coordinates and their tags packed."""
     at = geometry.corner_coordinates(mesh.cells, mesh.vertices)
     tags = boundary.encode(columnar.face_tags(mesh), mesh.cells, "i32")
-    return at.join(tags, "cell_id").select("cell_id", "group", *[f"{a}{k}" for k in range(4) for a in "xyz"], "boundary")
+    return joined(at, tags, ["cell_id"]).select("cell_id", "group", *[f"{a}{k}" for k in range(4) for a in "xyz"], "boundary")
 
 
 def gambit_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     mesh = _box(spark, sf_dir)
-    tagged = mesh.with_(face_bcs=faces.match_facets(mesh.cells, mesh.facets).filter("bc <> 0"))
+    tagged = mesh.with_(face_bcs=stored(faces.match_facets(mesh.cells, mesh.facets).filter("bc <> 0"), "tags"))
     return _read_back(gambit.read(spark, _written(tagged, gambit.text_of, "gambit")))
 
 

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..mesh import Mesh
+from ..operators.dealing import dealt
 from ..operators.groups import assign_groups
 from ..operators.numbering import numbered
 from ..operators.validate import require_empty
+from ..storage import stored
 from .lines import between, in_ranges, stored_lines, tokens
 
 # The format's marks, the width of a coordinate and the elements on a line of a group.
@@ -57,7 +59,7 @@ def index(lines: DataFrame) -> Index:
     marks = lines.filter(F.col("value").rlike(f"^\\s*({END})\\s*$|{COORDINATES}|{ELEMENTS}|{GROUP}|{BOUNDARY}"))
     # each section's mark, the line after it and its end
     wanted = marks.select("line").union(marks.select(F.col("line") + 1)).distinct()
-    found = {r["line"]: r["value"] for r in lines.join(wanted, "line", "left_semi").collect()}
+    found = {r["line"]: r["value"] for r in lines.join(F.broadcast(wanted), "line", "left_semi").collect()}
     ends = sorted(k for k, v in found.items() if v.strip() == END)
 
     def closed(first: int, n: int, what: str) -> int:
@@ -115,7 +117,7 @@ def _of_sections(lines: DataFrame, sections: tuple[Section, ...]) -> DataFrame:
     """(line, value, tag, number): lines of sections, and each section's number among them."""
     spark = lines.sparkSession
     rows = [(s.first, s.first + s.lines, s.value, k) for k, s in enumerate(sections)]
-    return in_ranges(lines, spark.createDataFrame(rows, "low long, high long, tag int, number int"))
+    return in_ranges(lines, F.broadcast(spark.createDataFrame(rows, "low long, high long, tag int, number int")))  # a row a section
 
 
 def read_groups(lines: DataFrame, sections: tuple[Section, ...]) -> DataFrame:
@@ -137,9 +139,10 @@ def read(spark: SparkSession, path: str) -> Mesh:
     require_empty(vertices.filter("x is null or y is null or z is null"), "a vertex's line doesn't hold numbers")
     require_empty(cells.filter(F.exists("vertices", lambda v: v.isNull())), "an element's line doesn't hold numbers")
     if at.groups:
-        cells = assign_groups(cells, read_groups(lines, at.groups))
+        cells = assign_groups(cells, dealt(read_groups(lines, at.groups), sum(s.rows for s in at.groups), "cell_id"))
     else:
         cells = cells.withColumn("group", F.lit(0))
+    cells = stored(cells, "cells")
     bcs = read_boundaries(lines, at.boundaries) if at.boundaries else spark.createDataFrame([], "cell_id long, face int, bc int, ordinal long")
     return Mesh(vertices, cells, face_bcs=bcs)
 

@@ -9,16 +9,17 @@ from ..storage import working_folder
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value): the lines of a text file (or of a folder's only file), numbered from 0.
+    """(line, value): the lines of a text file, or of a folder's part files one after the other, numbered from 0.
 
     Splits are read in parallel. A line's number is its place in its split and the number of lines in the
-    splits before; only one number a split is gathered. Carriage returns at line ends go.
+    splits before; only one number a split is gathered and sent to all. Carriage returns at line ends go.
     """
-    raw = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mark"), F.regexp_replace("value", "\\r$", "").alias("value"))
-    blocks = raw.groupBy("block").agg(F.min("mark").alias("first"), F.count("*").alias("n"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint").alias("start"))
-    return raw.join(starts, "block").select((F.col("mark") - F.col("first") + F.col("start")).alias("line"), "value")
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mark"), F.regexp_replace("value", "\\r$", "").alias("value"))
+    blocks = raw.groupBy("file", "block").agg(F.min("mark").alias("first"), F.count("*").alias("n"))
+    # part files are numbered with five digits or more
+    before = Window.orderBy(F.length("file"), "file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint").alias("start"))
+    return raw.join(F.broadcast(starts), ["file", "block"]).select((F.col("mark") - F.col("first") + F.col("start")).alias("line"), "value")
 
 
 def stored_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import strip_tag_offset
 from ..schema import FACE_NODES, FACE_PERMUTATION
+from .dealing import joined
 
 
 def face_table(cells: DataFrame) -> DataFrame:
@@ -46,11 +47,11 @@ def match_facets(cells: DataFrame, facets: DataFrame) -> DataFrame:
 def tags_by_model_face(cells: DataFrame, classified: DataFrame, model_face_bc: DataFrame) -> DataFrame:
     """(cell_id, face, bc): tags of model faces on the mesh faces classified on them, from all cells that have them.
 
-    classified: (nodes, model_face); model_face_bc: (model_face, bc), where bc 0 means none.
+    classified: (nodes, model_face); model_face_bc: (model_face, bc), a row a model face, where bc 0 means none.
     """
     key = F.array_sort("nodes")
-    tagged = classified.join(model_face_bc.filter("bc <> 0"), "model_face").select(*[F.get(key, F.lit(i)).alias(n) for i, n in enumerate("abc")], "bc")
-    return face_table(cells).join(tagged, ["a", "b", "c"]).select("cell_id", "face", "bc")
+    tagged = classified.join(F.broadcast(model_face_bc.filter("bc <> 0")), "model_face").select(*[F.get(key, F.lit(i)).alias(n) for i, n in enumerate("abc")], "bc")
+    return joined(face_table(cells).select("cell_id", "face", "a", "b", "c"), tagged, ["a", "b", "c"], rows=4 * cells.count()).select("cell_id", "face", "bc")
 
 
 def permute_faces(column: str):

@@ -18,6 +18,14 @@ def most_in_a_task(df) -> int:
     return max(r["count"] for r in df.groupBy(F.spark_partition_id().alias("task")).count().collect())
 
 
+def test_parts_are_broadcast_not_the_box(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries.partitioned, "owned_entities", lambda v, c: seen.extend([v, c]) or queries.Mesh(v, c.withColumnsRenamed({"cell_key": "cell_id", "vertex_keys": "vertices"})))
+    queries.owned_entities_mesh(spark, SMALL)
+    for df in seen:
+        assert "BroadcastNestedLoopJoin BuildRight" in plan(df)
+
+
 def test_lines_of_part_files_follow_each_other(spark, tmp_path):
     """A mesh file was written by one task, since a folder's files were numbered by their splits' offsets alone."""
     spark.range(1000).repartitionByRange(12, "id").sortWithinPartitions("id").select(F.col("id").cast("string").alias("value")).write.text(str(tmp_path / "parts"))

@@ -151,7 +151,7 @@ def partitioned_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
 def owned_entities_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The box held twice: each half of its layers owned by one of two parts."""
     mesh = _box(spark, sf_dir)
-    parts = spark.createDataFrame([(0,), (1,)], "part int")
+    parts = F.broadcast(spark.createDataFrame([(0,), (1,)], "part int"))
     v = mesh.vertices.join(parts).select("part", F.col("vertex_id").alias("vertex_key"), "x", "y", "z", (F.col("vertex_id") % 2 == F.col("part")).alias("is_owned"))
     c = mesh.cells.join(parts).select("part", F.col("cell_id").alias("cell_key"), F.col("vertices").alias("vertex_keys"), "group", (F.col("group") % 2 == F.col("part")).alias("is_owned"))
     found = partitioned.owned_entities(v, c)

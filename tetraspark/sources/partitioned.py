@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..mesh import Mesh
+from ..operators.dealing import dealt, joined
 from ..operators.faces import permute_faces
 from ..operators.groups import owned
 from ..operators.numbering import numbered
@@ -21,7 +22,7 @@ def assemble(raw_vertices: DataFrame, raw_cells: DataFrame, tolerance: str = "ex
     ids = global_ids(raw_vertices, distinct, tolerance)
     group = F.coalesce(F.col("group"), F.lit(0)) if "group" in raw_cells.columns else F.lit(0)
     rest = raw_cells.select("part", "local_cell", permute_faces("b").alias("b"), group.cast("int").alias("group"))
-    cells = numbered(connect(raw_cells, ids).join(rest, ["part", "local_cell"]), ["part", "local_cell"], "cell_id")
+    cells = numbered(joined(connect(raw_cells, ids), rest, ["part", "local_cell"]), ["part", "local_cell"], "cell_id")
     bcs = cells.select("cell_id", F.posexplode("b").alias("face", "bc")).filter("bc <> 0")
     return Mesh(distinct.select("vertex_id", "x", "y", "z"), cells.select("cell_id", "vertices", "group"), face_bcs=bcs)
 
@@ -39,12 +40,13 @@ def owned_entities(vertices: DataFrame, cells: DataFrame, tags: DataFrame | None
     ids = v.select("vertex_key", "vertex_id")
 
     def renamed(df: DataFrame, key: str, column: str) -> DataFrame:
-        found = df.select(key, F.posexplode(column).alias("at", "vertex_key")).join(ids, "vertex_key")
+        rows = 4 * df.count()
+        found = dealt(joined(df.select(key, F.posexplode(column).alias("at", "vertex_key")), ids, ["vertex_key"], rows=rows), rows, key)
         return found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "vertex_id"))), lambda s: s["vertex_id"]).alias("vertices"))
 
-    joined = c.select("cell_id", "group").join(renamed(c, "cell_id", "vertex_keys"), "cell_id").select("cell_id", "vertices", F.col("group").cast("int").alias("group"))
+    found = joined(c.select("cell_id", "group"), renamed(c, "cell_id", "vertex_keys"), ["cell_id"]).select("cell_id", "vertices", F.col("group").cast("int").alias("group"))
     facets = None
     if tags is not None:
         marked = tags.withColumn("facet_id", F.monotonically_increasing_id())
-        facets = renamed(marked, "facet_id", "nodes").join(marked.select("facet_id", "tag"), "facet_id").select("facet_id", F.col("vertices").alias("nodes"), "tag")
-    return Mesh(v.select("vertex_id", "x", "y", "z"), joined, facets)
+        facets = joined(renamed(marked, "facet_id", "nodes"), marked.select("facet_id", "tag"), ["facet_id"]).select("facet_id", F.col("vertices").alias("nodes"), "tag")
+    return Mesh(v.select("vertex_id", "x", "y", "z"), found, facets)

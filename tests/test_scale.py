@@ -18,6 +18,15 @@ def most_in_a_task(df) -> int:
     return max(r["count"] for r in df.groupBy(F.spark_partition_id().alias("task")).count().collect())
 
 
+@pytest.mark.parametrize("name", ["mesh_summary", "surface_bc_match", "model_face_tags", "dangling_vertices", "puml_roundtrip", "gambit_roundtrip"])
+def test_no_mesh_table_is_broadcast(spark, name):
+    text = plan(queries.QUERIES[name](spark, SMALL)).replace("BroadcastHashJoin [__stretch", "")  # sections of a file, a row each
+    if name == "model_face_tags":  # but for the tags of model faces, a row each
+        assert text.count("BroadcastHashJoin") == 1 and "BuildLeft" not in text
+    else:
+        assert "BroadcastHashJoin" not in text
+
+
 def test_parts_are_broadcast_not_the_box(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(queries.partitioned, "owned_entities", lambda v, c: seen.extend([v, c]) or queries.Mesh(v, c.withColumnsRenamed({"cell_key": "cell_id", "vertex_keys": "vertices"})))

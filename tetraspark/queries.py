@@ -343,9 +343,9 @@ def puml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = working_folder(spark, "puml")
     columnar.write(_box(spark, sf_dir), folder, "i32")
     parts, _ = columnar.read(spark, folder)
-    cells = parts["connect"].join(parts["group"], "cell_id")
+    cells = joined(parts["connect"], parts["group"], ["cell_id"])
     at = geometry.corner_coordinates(cells, parts["geometry"])
-    return at.join(parts["boundary"], "cell_id").select("cell_id", "group", *[f"{a}{k}" for k in range(4) for a in "xyz"], "boundary")
+    return joined(at, parts["boundary"], ["cell_id"]).select("cell_id", "group", *[f"{a}{k}" for k in range(4) for a in "xyz"], "boundary")
 
 
 def cells_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:

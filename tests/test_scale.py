@@ -18,6 +18,21 @@ def most_in_a_task(df) -> int:
     return max(r["count"] for r in df.groupBy(F.spark_partition_id().alias("task")).count().collect())
 
 
+def test_box_unfolds_in_many_tasks(spark):
+    """duplicate_faces, exterior_faces, surface_bc_match, mesh_summary: one split of numbers unfolded in one task."""
+    n = 8 * boxmesh.HEXES_A_TASK
+    cells = boxmesh.box(spark.range(n).coalesce(1), "id").cells
+    assert cells.count() == 6 * n
+    assert most_in_a_task(cells) < 6 * 4 * boxmesh.HEXES_A_TASK
+
+
+def test_exterior_faces_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(dealing, "ROWS_A_TASK", 1000)
+    found = faces.exterior_faces(boxmesh.box(spark.range(2000), "id").cells)
+    assert found.rdd.getNumPartitions() == 48
+    assert found.count() == 4 * (20 * 10 + 20 * 10 + 10 * 10)
+
+
 @pytest.mark.parametrize("name", ["mesh_summary", "surface_bc_match", "model_face_tags", "dangling_vertices", "puml_roundtrip", "gambit_roundtrip"])
 def test_no_mesh_table_is_broadcast(spark, name):
     text = plan(queries.QUERIES[name](spark, SMALL)).replace("BroadcastHashJoin [__stretch", "")  # sections of a file, a row each

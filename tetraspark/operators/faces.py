@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import strip_tag_offset
 from ..schema import FACE_NODES, FACE_PERMUTATION
-from .dealing import joined
+from .dealing import dealt, joined
 
 
 def face_table(cells: DataFrame) -> DataFrame:
@@ -17,9 +17,10 @@ def face_table(cells: DataFrame) -> DataFrame:
     return rows.select("cell_id", "face", "nodes", *[F.get("key", F.lit(i)).alias(n) for i, n in enumerate("abc")])
 
 
-def exterior_faces(cells: DataFrame) -> DataFrame:
-    """(a, b, c, cell_id, face) of faces that one cell only has."""
-    return face_table(cells).groupBy("a", "b", "c").agg(F.count("*").alias("n"), F.min("cell_id").alias("cell_id"), F.min("face").alias("face")).filter("n = 1").drop("n")
+def exterior_faces(cells: DataFrame, n_cells: int | None = None) -> DataFrame:
+    """(a, b, c, cell_id, face) of faces that one cell only has. n_cells: the number of cells, where it is known."""
+    rows = dealt(face_table(cells).drop("nodes"), 4 * (cells.count() if n_cells is None else n_cells), "a", "b", "c")
+    return rows.groupBy("a", "b", "c").agg(F.count("*").alias("n"), F.min("cell_id").alias("cell_id"), F.min("face").alias("face")).filter("n = 1").drop("n")
 
 
 def facet_keys(facets: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def match_facets(cells: DataFrame, facets: DataFrame) -> DataFrame:
     Orientation doesn't matter. A facet given twice is an error at run time.
     """
     one = facet_keys(facets).groupBy("a", "b", "c").agg(F.count("*").alias("n"), F.min("tag").alias("tag"))
-    found = face_table(cells).select("cell_id", "face", "a", "b", "c").join(one, ["a", "b", "c"], "left")
+    found = joined(face_table(cells).select("cell_id", "face", "a", "b", "c"), one, ["a", "b", "c"], "left", 4 * cells.count())
     tag = F.when(F.col("n") > 1, F.raise_error(F.lit("a facet occurs twice in the surface mesh")).cast("int")).otherwise(strip_tag_offset(F.col("tag")))
     return found.select("cell_id", "face", F.coalesce(tag, F.lit(0)).cast("int").alias("bc"))
 

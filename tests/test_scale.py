@@ -50,6 +50,14 @@ def test_parts_are_broadcast_not_the_box(spark, monkeypatch):
         assert "BroadcastNestedLoopJoin BuildRight" in plan(df)
 
 
+def test_assembled_parts_are_not_broadcast(spark, monkeypatch):
+    """partitioned_mesh: raw vertices pack well, and went through the driver."""
+    seen, whole = [], queries.partitioned.global_ids
+    monkeypatch.setattr(queries.partitioned, "global_ids", lambda *a: seen.append(whole(*a)) or seen[-1])
+    queries.partitioned_mesh(spark, SMALL)
+    assert "BroadcastHashJoin [k" not in plan(seen[0]) and "SortMergeJoin [k" in plan(seen[0])
+
+
 def test_lines_of_part_files_follow_each_other(spark, tmp_path):
     """A mesh file was written by one task, since a folder's files were numbered by their splits' offsets alone."""
     spark.range(1000).repartitionByRange(12, "id").sortWithinPartitions("id").select(F.col("id").cast("string").alias("value")).write.text(str(tmp_path / "parts"))

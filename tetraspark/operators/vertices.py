@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import positive_zero, truncate_low_bits
+from .dealing import dealt, joined
 from .numbering import numbered
 
 _AXES = ("x", "y", "z")
@@ -31,7 +32,7 @@ def distinct_vertices(raw: DataFrame, tolerance: str = "exact") -> DataFrame:
 def global_ids(raw: DataFrame, distinct: DataFrame, tolerance: str = "exact") -> DataFrame:
     """raw with the vertex_id of each row."""
     keyed = _keyed(raw, tolerance)
-    return keyed.join(distinct.select("kx", "ky", "kz", "vertex_id"), ["kx", "ky", "kz"]).select(*raw.columns, "vertex_id")
+    return joined(keyed, distinct.select("kx", "ky", "kz", "vertex_id"), ["kx", "ky", "kz"]).select(*raw.columns, "vertex_id")
 
 
 def part_offsets(rows: DataFrame, part: str = "part") -> DataFrame:
@@ -44,7 +45,8 @@ def part_offsets(rows: DataFrame, part: str = "part") -> DataFrame:
 def connect(cells: DataFrame, ids: DataFrame) -> DataFrame:
     """Part-local vertex numbers of cells (part, local_cell, v) as global ones: (part, local_cell, vertices)."""
     corner = cells.select("part", "local_cell", F.posexplode("v").alias("at", "local_id"))
-    found = corner.join(ids.select("part", "local_id", "vertex_id"), ["part", "local_id"])
+    rows = 4 * cells.count()
+    found = dealt(joined(corner, ids.select("part", "local_id", "vertex_id"), ["part", "local_id"], rows=rows), rows, "part", "local_cell")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "vertex_id"))), lambda s: s["vertex_id"])
     return found.groupBy("part", "local_cell").agg(listed.alias("vertices"))
 

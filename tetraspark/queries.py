@@ -138,13 +138,15 @@ def partitioned_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The box, cut into parts by layer with vertices of their own, put together again."""
     mesh = _box(spark, sf_dir)
     cells = mesh.cells.select((F.col("group") - 1).alias("part"), "cell_id", "vertices", "group")
+    rows = 4 * cells.count()
     corner = cells.select("part", "cell_id", F.posexplode("vertices").alias("at", "vertex_id"))
-    used = corner.select("part", "vertex_id").distinct().withColumn("local_id", (F.row_number().over(Window.partitionBy("part").orderBy("vertex_id")) - 1).cast("bigint"))
-    raw = used.join(mesh.vertices, "vertex_id").select("part", "local_id", "x", "y", "z")
-    local = corner.join(used, ["part", "vertex_id"]).groupBy("part", "cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "local_id"))), lambda s: s["local_id"]).alias("v"))
+    used = numbered(corner.select("part", "vertex_id").distinct(), ["part", "vertex_id"], "k")
+    used = used.join(F.broadcast(used.groupBy("part").agg(F.min("k").alias("first"))), "part").select("part", "vertex_id", (F.col("k") - F.col("first")).alias("local_id"))
+    raw = joined(used, mesh.vertices, ["vertex_id"]).select("part", "local_id", "x", "y", "z")
+    local = dealt(joined(corner, used, ["part", "vertex_id"], rows=rows), rows, "part", "cell_id").groupBy("part", "cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "local_id"))), lambda s: s["local_id"]).alias("v"))
     tags = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: ((F.col("cell_id") + k) % 7).cast("int"))
-    raw_cells = local.join(cells.select("cell_id", "group"), "cell_id").select("part", F.col("cell_id").alias("local_cell"), "v", tags.alias("b"), "group")
-    found = partitioned.assemble(raw, raw_cells)
+    raw_cells = joined(local, cells.select("cell_id", "group"), ["cell_id"]).select("part", F.col("cell_id").alias("local_cell"), "v", tags.alias("b"), "group")
+    found = partitioned.assemble(stored(raw, "raw_vertices"), stored(raw_cells, "raw_cells"))
     return found.cells.select("cell_id", *[F.col("vertices")[k].alias(f"v{k}") for k in range(4)], "group")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..mesh import Mesh
+from ..operators.dealing import joined
 from ..operators.groups import entity_tags
 from ..operators.numbering import numbered
 from ..operators.validate import require_contiguous, require_empty
@@ -106,8 +107,8 @@ def _block_heads(words: DataFrame, part: Part, lines_each: int) -> DataFrame:
 
 
 def _in_blocks(words: DataFrame, heads: DataFrame, lines_each: int) -> DataFrame:
-    """(line, w, head, at, h, n): lines below heads, and each one's place below its head."""
-    below = heads.select(F.col("line").alias("head"), "h", "n", (F.col("line") + 1).alias("low"), (F.col("line") + 1 + lines_each * F.col("n")).alias("high"))
+    """(line, w, head, at, ..): lines below heads, each one's place below its head, and the head's columns."""
+    below = heads.select(F.col("line").alias("head"), *[c for c in heads.columns if c != "line"], (F.col("line") + 1).alias("low"), (F.col("line") + 1 + lines_each * F.col("n")).alias("high"))
     return in_ranges(words, below).withColumn("at", F.col("line") - F.col("low"))
 
 
@@ -117,16 +118,16 @@ def nodes41(lines: DataFrame, part: Part) -> DataFrame:
     rows = _in_blocks(words, _block_heads(words, part, 2), 2)
     tag = rows.filter("at < n").select("head", F.col("at").alias("k"), (_integer(F.get("w", F.lit(0))) - 1).alias("vertex_id"))
     xyz = rows.filter("at >= n").select("head", (F.col("at") - F.col("n")).alias("k"), *[F.get("w", F.lit(i)).try_cast("double").alias(a) for i, a in enumerate("xyz")])
-    return tag.join(xyz, ["head", "k"]).select("vertex_id", "x", "y", "z")
+    return joined(tag, xyz, ["head", "k"]).select("vertex_id", "x", "y", "z")
 
 
 def elements41(lines: DataFrame, part: Part, tags: DataFrame) -> DataFrame:
-    """(element, type, nodes, tag): entries of all blocks with their entity's physical tag, 0 without one."""
+    """(element, type, nodes, tag): entries of all blocks with their entity's physical tag, 0 without one; tags are looked up for heads, not for each entry."""
     words = _words(lines, part, 1)
-    rows = _in_blocks(words, _block_heads(words, part, 1), 1)
+    heads = _block_heads(words, part, 1).select("line", "h", "n", F.col("h")[0].cast("int").alias("dim"), F.col("h")[1].alias("entity_tag"))
+    rows = _in_blocks(words, stored(entity_tags(heads, tags), "tagged"), 1)
     ids = F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda x: x.try_cast("bigint") - 1)
-    typed = rows.select(F.col("line").alias("element"), F.col("h")[0].cast("int").alias("dim"), F.col("h")[1].alias("entity_tag"), F.col("h")[2].cast("int").alias("type"), ids.alias("nodes"))
-    return entity_tags(typed, tags).select("element", "type", "nodes", "tag")
+    return rows.select(F.col("line").alias("element"), F.col("h")[2].cast("int").alias("type"), ids.alias("nodes"), "tag")
 
 
 def nodes22(lines: DataFrame, part: Part) -> DataFrame:
